@@ -39,6 +39,12 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .class_lm import class_lm
+
+    return class_lm(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
