@@ -13,6 +13,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+
+    return near_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import url_filter
 
@@ -31,6 +37,12 @@ def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +51,12 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .class_lm import class_lm
 
