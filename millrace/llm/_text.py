@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Text in a block; with its separators it just fits tables of 2 ** 21 entries.
+BLOCK_BYTES = (1 << 21) - 16
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
@@ -101,7 +103,7 @@ class Block:
         return s, e, np.append(np.searchsorted(s, self.start), len(s))
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Block]]:
+def blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = BLOCK_BYTES, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """Slices of a batch with their texts; a slice has ``max_bytes`` of text at most, or one text."""
     i = batch.schema.get_field_index(column)
     texts = batch.column(i).cast(pa.large_binary()).to_pylist()

@@ -31,7 +31,7 @@ from ._store import drop_table, table
 from ._text import U64, doc_of, prefix_hash, span_hash
 
 TOP, CLASSES = 1024, 64
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = (1 << 22) - 16
 END, STATES, UNSEEN = 2 * CLASSES, 2 * CLASSES + 1, 255
 
 

@@ -35,23 +35,31 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop_table, table
+from ._blobs import chunked, columns, pack, split, unpack
+from ._store import table
 from ._text import Block, U64, mix, prefix_hash, span_hash
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 _POS_BITS = 31
 
 
-def anchors(b: Block, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the block's buffer, hashes and texts' numbers of the anchors of all windows."""
+class Part:
+    """Texts i to j of a block, as a view."""
+
+    def __init__(self, b: Block, i: int, j: int):
+        at = b.start[i] - 1
+        self.buf, self.start, self.end = b.buf[at : b.end[j - 1] + 1], b.start[i:j] - at, b.end[i:j] - at
+
+
+def anchors(b: Block | Part, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the buffer and hashes of the anchors of all windows."""
     w, buf = length - seed + 1, b.buf
     long = np.flatnonzero(b.end - b.start >= length)
     if not len(long):
-        return np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, U64)
     m = len(buf) - seed + 1
     at = np.arange(m)
     h = span_hash(prefix_hash(buf), at, at + seed)
@@ -68,7 +76,7 @@ def anchors(b: Block, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, n
     np.add.at(valid, b.end[long] - length + 1, -1)
     place = (low[np.cumsum(valid[:-1], dtype=np.int8) > 0] & U64((1 << _POS_BITS) - 1)).astype(np.int64)
     place = place[np.concatenate([[True], place[1:] != place[:-1]])]
-    return place, h[place], np.searchsorted(b.start, place, "right") - 1
+    return place, h[place]
 
 
 def shared_prefix(m: np.ndarray) -> np.ndarray:
@@ -117,33 +125,8 @@ def repeat_groups(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_rig
     return before, after
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
-
-
-def _unpack(x: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), dtype)
-
-
-def _split(bucket: np.ndarray):
-    """(bucket, indices) for each bucket that occurs."""
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
-    for a, z in zip(cut, [*cut[1:], len(b)]):
-        yield int(b[a]), order[a:z]
-
-
-def _batch(**cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, (v, t) in cols.items()})
-
-
-def _table(**cols) -> pa.Table:
-    return pa.table({k: pa.array(v, t) for k, (v, t) in cols.items()})
-
-
 def _spans(out: list[tuple[int, bytes, bytes]]) -> pa.Table:
-    return _table(chunk=([x[0] for x in out], pa.int64()), a=([x[1] for x in out], pa.binary()), z=([x[2] for x in out], pa.binary()))
+    return columns(chunk=([x[0] for x in out], pa.int64()), a=([x[1] for x in out], pa.binary()), z=([x[2] for x in out], pa.binary()))
 
 
 def _windows(buf, start, end, place, length: int, seed: int, nb: int) -> list[tuple]:
@@ -157,23 +140,23 @@ def _windows(buf, start, end, place, length: int, seed: int, nb: int) -> list[tu
     two = [span_hash(prefix_hash(x), at, at + length) for x in (buf, mix(np.arange(256, dtype=U64)).argsort().astype(np.uint8)[buf])]
     pairs = np.stack(two, 1)
     out = []
-    for b, i in _split(nb + (two[0] % U64(nb)).astype(np.int64)):
+    for b, i in split(nb + (two[0] % U64(nb)).astype(np.int64)):
         uniq, inv = np.unique(pairs[i], axis=0, return_inverse=True)
-        out.append((b, _pack(at[i].astype(np.int32)), uniq.tobytes(), _pack(inv.ravel().astype(np.int32)), b""))
+        out.append((b, pack(at[i].astype(np.int32)), uniq.tobytes(), pack(inv.ravel().astype(np.int32)), b""))
     return out
 
 
 def _count_windows(rows: list[dict], length: int) -> pa.Table:
     seen = [np.frombuffer(r["context"], U64).reshape(-1, 2) for r in rows]
-    inv = [_unpack(r["rows"], np.int32) for r in rows]
+    inv = [unpack(r["rows"], np.int32) for r in rows]
     _, of = np.unique(np.concatenate(seen), axis=0, return_inverse=True)
     of = of.ravel()
     total = np.bincount(of, np.concatenate([np.bincount(v, minlength=len(s)) for v, s in zip(inv, seen)]))[of]
     out = []
     for r, v, a in zip(rows, inv, np.cumsum([0, *map(len, seen)])):
-        at = _unpack(r["place"], np.int32)[total[a + v] >= 2]
+        at = unpack(r["place"], np.int32)[total[a + v] >= 2]
         if len(at):
-            out.append((r["chunk"], _pack(at), _pack(at + np.int32(length))))
+            out.append((r["chunk"], pack(at), pack(at + np.int32(length))))
     return _spans(out)
 
 
@@ -189,33 +172,19 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
     wide = length - seed
 
     def chunks(batches):
-        base, k = TaskContext.get().partitionId() << 32, 0
-        ids, texts, size = [], [], 0
-
-        def emit():
-            nonlocal ids, texts, size, k
-            b = Block(texts)
-            place, h, _ = anchors(b, length, seed)
-            out = _batch(chunk=([base + k], i64), sizes=([_pack((b.end - b.start).astype(np.int32))], binary), body=([zstandard.compress(b.buf.tobytes(), 3)], binary), place=([_pack(place.astype(np.int32))], binary), hashes=([h.tobytes()], binary))
-            out = out.append_column("ids", pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)))
-            ids, texts, size, k = [], [], 0, k + 1
-            return out.select(["chunk", "ids", "sizes", "body", "place", "hashes"])
-
-        for batch in batches:
-            rows = batch.column(1).cast(pa.large_binary())
-            a = 0
-            for i in range(len(rows)):
-                x = rows[i].as_py() or b""
-                texts.append(x)
-                size += len(x) + 1
-                if size >= CHUNK_BYTES:
-                    ids.append(batch.column(0).slice(a, i + 1 - a))
-                    a = i + 1
-                    yield emit()
-            if a < len(rows):
-                ids.append(batch.column(0).slice(a))
-        if texts:
-            yield emit()
+        for number, b, (ids,) in chunked(batches, CHUNK_BYTES):
+            place, h = [], []
+            i = 0
+            while i < b.n:  # some texts at a time, whose work arrays stay small
+                j = max(i + 1, int(np.searchsorted(b.end, b.start[i] + (1 << 19))))
+                at = int(b.start[i]) - 1
+                p, q = anchors(Part(b, i, j), length, seed)
+                place.append(p + at)
+                h.append(q)
+                i = j
+            out = columns(True, chunk=([number], i64), sizes=([pack((b.end - b.start).astype(np.int32))], binary), body=([zstandard.compress(b.buf.tobytes(), 3)], binary), place=([pack(np.concatenate(place).astype(np.int32))], binary), hashes=([np.concatenate(h).tobytes()], binary))
+            out = out.append_column("ids", pa.array([ids.to_pylist()], pa.list_(ids.type)))
+            yield out.select(["chunk", "ids", "sizes", "body", "place", "hashes"])
 
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts, p1 = table(src.mapInArrow(chunks, f"chunk long, ids array<{kind}>, sizes binary, body binary, place binary, hashes binary"), "chunks", codec="uncompressed")
@@ -224,8 +193,8 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
         for batch in batches:
             for chunk, hashes in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist()):
                 h, n = np.unique(np.frombuffer(hashes, U64), return_counts=True)
-                rows = [(b, h[i].tobytes(), np.minimum(n[i], 255).astype(np.uint8).tobytes()) for b, i in _split((h % U64(nb)).astype(np.int64))]
-                yield _batch(bucket=([r[0] for r in rows], pa.int32()), chunk=([chunk] * len(rows), i64), hashes=([r[1] for r in rows], binary), n=([r[2] for r in rows], binary))
+                rows = [(b, h[i].tobytes(), np.minimum(n[i], 255).astype(np.uint8).tobytes()) for b, i in split((h % U64(nb)).astype(np.int64))]
+                yield columns(True, bucket=([r[0] for r in rows], pa.int32()), chunk=([chunk] * len(rows), i64), hashes=([r[1] for r in rows], binary), n=([r[2] for r in rows], binary))
 
     def answer(t: pa.Table) -> pa.Table:
         hs = [np.frombuffer(x, U64) for x in t["hashes"].to_pylist()]
@@ -235,7 +204,7 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
         crowd = np.bincount(inv)[inv]  # chunks that have it
         cut = np.cumsum([0, *map(len, hs)])
         rows = [(c, h[a:z][total[a:z] > 1].tobytes(), np.minimum(crowd[a:z][total[a:z] > 1], 1 << 30).astype(np.int32).tobytes()) for c, a, z in zip(t["chunk"].to_pylist(), cut, cut[1:]) if (total[a:z] > 1).any()]
-        return _table(chunk=([r[0] for r in rows], i64), hashes=([r[1] for r in rows], binary), crowd=([r[2] for r in rows], binary))
+        return columns(chunk=([r[0] for r in rows], i64), hashes=([r[1] for r in rows], binary), crowd=([r[2] for r in rows], binary))
 
     asked = parts.select("chunk", "hashes").mapInArrow(ask, "bucket int, chunk long, hashes binary, n binary")
     told = asked.groupBy("bucket").applyInArrow(answer, "chunk long, hashes binary, crowd binary")
@@ -243,9 +212,9 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         none = dict(bucket=([], pa.int32()), chunk=([], i64), place=([], binary), context=([], binary), rows=([], binary), sizes=([], binary))
         if not left.num_rows or not right.num_rows:
-            return _table(**none)
+            return columns(**none)
         row = left.to_pylist()[0]
-        place, h = _unpack(row["place"], np.int32).astype(np.int64), np.frombuffer(row["hashes"], U64)
+        place, h = unpack(row["place"], np.int32).astype(np.int64), np.frombuffer(row["hashes"], U64)
         known = np.concatenate([np.frombuffer(x, U64) for x in right["hashes"].to_pylist()])
         by = np.argsort(known)
         known, crowd = known[by], np.concatenate([np.frombuffer(x, np.int32) for x in right["crowd"].to_pylist()])[by]
@@ -253,7 +222,7 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
         i = np.flatnonzero(known[at] == h)
         place, h, often = place[i], h[i], crowd[at[i]] > hot
         buf = np.frombuffer(zstandard.decompress(row["body"]), np.uint8)
-        size = _unpack(row["sizes"], np.int32).astype(np.int64)
+        size = unpack(row["sizes"], np.int32).astype(np.int64)
         end = np.cumsum(size + 1)
         start = end - size
         out = _windows(buf, start, end, place[often], length, seed, nb)
@@ -262,34 +231,34 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
         nl, nr = np.minimum(place - start[doc], wide), np.minimum(end[doc] - place, length)
         span = np.arange(-wide, length)
         padded = np.concatenate([np.zeros(wide, np.uint8), buf, np.zeros(length, np.uint8)])
-        for b, j in _split((h % U64(nb)).astype(np.int64)):
+        for b, j in split((h % U64(nb)).astype(np.int64)):
             m = padded[place[j, None] + span + wide]
             m[(span < -nl[j, None]) | (span >= nr[j, None])] = 0
             full = np.concatenate([m, nl[j, None].astype(np.uint8), nr[j, None].astype(np.uint8)], axis=1)
             # a row's own length bytes end it, so that equal bytes of other lengths differ
             uniq, inv = np.unique(np.concatenate([full, np.full((len(full), 1), 1, np.uint8)], axis=1).view(f"S{full.shape[1] + 1}").ravel(), return_inverse=True)
             u = uniq.view(np.uint8).reshape(len(uniq), -1)[:, :-1]
-            out.append((b, _pack(place[j].astype(np.int32)), _pack(u[:, : wide + length]), _pack(inv.astype(np.int32)), u[:, wide + length :].tobytes()))
-        return _table(bucket=([r[0] for r in out], pa.int32()), chunk=([row["chunk"]] * len(out), i64), place=([r[1] for r in out], binary), context=([r[2] for r in out], binary), rows=([r[3] for r in out], binary), sizes=([r[4] for r in out], binary))
+            out.append((b, pack(place[j].astype(np.int32)), pack(u[:, : wide + length]), pack(inv.astype(np.int32)), u[:, wide + length :].tobytes()))
+        return columns(bucket=([r[0] for r in out], pa.int32()), chunk=([row["chunk"]] * len(out), i64), place=([r[1] for r in out], binary), context=([r[2] for r in out], binary), rows=([r[3] for r in out], binary), sizes=([r[4] for r in out], binary))
 
     def match(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         if rows[0]["bucket"] >= nb:
             return _count_windows(rows, length)
-        ctx = np.concatenate([_unpack(r["context"], np.uint8).reshape(-1, wide + length) for r in rows])
+        ctx = np.concatenate([unpack(r["context"], np.uint8).reshape(-1, wide + length) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint8).reshape(-1, 2) for r in rows]).astype(np.int64)
-        inv = [_unpack(r["rows"], np.int32) for r in rows]
+        inv = [unpack(r["rows"], np.int32) for r in rows]
         n_ctx = [len(r["sizes"]) // 2 for r in rows]
         base = np.cumsum([0, *n_ctx])
         weight = np.concatenate([np.bincount(v, minlength=k) for v, k in zip(inv, n_ctx)])
         before, after = repeat_groups(np.ascontiguousarray(ctx[:, :wide][:, ::-1]), np.ascontiguousarray(ctx[:, wide:]), sizes[:, 0], sizes[:, 1], weight, length)
         out = []
         for r, v, a in zip(rows, inv, base):
-            place = _unpack(r["place"], np.int32)
+            place = unpack(r["place"], np.int32)
             o, t = before[a + v], after[a + v]
             hit = t > 0
             if hit.any():
-                out.append((r["chunk"], _pack((place - o)[hit].astype(np.int32)), _pack((place + t)[hit].astype(np.int32))))
+                out.append((r["chunk"], pack((place - o)[hit].astype(np.int32)), pack((place + t)[hit].astype(np.int32))))
         return _spans(out)
 
     near = parts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(contexts, "bucket int, chunk long, place binary, context binary, rows binary, sizes binary")
@@ -298,14 +267,14 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         body = zstandard.decompress(row["body"])
-        size = _unpack(row["sizes"], np.int32).astype(np.int64)
+        size = unpack(row["sizes"], np.int32).astype(np.int64)
         end = np.cumsum(size + 1)
         start = end - size
         step = np.zeros(len(body) + 1, np.int32)
         for r in right.to_pylist():
-            np.add.at(step, _unpack(r["a"], np.int32), 1)
-            np.add.at(step, _unpack(r["z"], np.int32), -1)
-        gone = np.cumsum(step[:-1]) > 0  # never a text's line feed
+            np.add.at(step, unpack(r["a"], np.int32), 1)
+            np.add.at(step, unpack(r["z"], np.int32), -1)
+        gone = np.cumsum(step[:-1], dtype=np.int32) > 0  # never a text's line feed
         edge = np.flatnonzero(gone[1:] != gone[:-1]) + 1
         a, z = edge[::2], edge[1::2]
         first = np.searchsorted(a, start)
@@ -317,7 +286,7 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
         cols = dict(doc_id=(row["ids"], left.schema.field("ids").type.value_type), n_bytes=(size, i64), n_removed=(n[last] - n[first], i64), n_spans=(last - first, i64), kept_sha256=([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
         if spans:
             cols |= dict(kept=(kept, binary), removed=([[[int(p - s), int(q - s)] for p, q in zip(a[i:j], z[i:j])] for s, i, j in zip(start, first, last)], pa.list_(pa.list_(pa.int32()))))
-        return _table(**cols)
+        return columns(**cols)
 
     out = parts.select("chunk", "ids", "sizes", "body").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<array<int>>" * spans)
     return out

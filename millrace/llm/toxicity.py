@@ -46,7 +46,7 @@ def grams(b: Block) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """Per-coordinate FTRL-proximal for binary features; the last coordinate is the bias, without L1."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 4.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -64,7 +64,7 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def fit(texts: list[bytes], y: list[int], epochs: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(texts: list[bytes], y: list[int], epochs: int = 6, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the non-zero weights, and the bias."""
     rows = []
     for a in range(0, len(texts), 500):
@@ -85,7 +85,7 @@ def fit(texts: list[bytes], y: list[int], epochs: int = 4, seed: int = 5) -> tup
     return at.astype(np.int32), w[at], float(w[-1])
 
 
-def toxicity(df: DataFrame, labels: DataFrame, held_out: F.Column | None = None, max_rows: int = 12_000, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, held_out: F.Column | None = None, max_rows: int = 16_000, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     ``labels``: doc_id and ``label`` (0 or 1). ``held_out``: a boolean column on doc_id, rows whose labels aren't
