@@ -224,8 +224,15 @@ def encode_texts(model: PieceModel, texts: list[bytes | None], cache: Cache) ->
     return out
 
 
+def _lists(joined: list[str]) -> pa.Array:
+    """The ids as lists."""
+    n = np.array([j.count(",") + 1 if j else 0 for j in joined])
+    flat = np.array(",".join([j for j in joined if j]).split(","), dtype=np.int32) if n.any() else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+
+
 def piece_bpe(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``ids`` also ids (array) and decoded.
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``ids`` also ids (array).
 
     ``model_path`` must name the file on every executor. Null and empty texts: no ids.
     """
@@ -247,9 +254,9 @@ def piece_bpe(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
                 joined, back = [g[0] for g in got], [g[1] for g in got]
                 cols = [batch.column(0).slice(a, b - a), pa.array([j.count(",") + 1 if j else 0 for j in joined], pa.int64()), pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined]), pa.array([hashlib.sha256(t).hexdigest() for t in back])]
                 if ids:
-                    cols += [pa.array([[int(i) for i in j.split(",")] if j else [] for j in joined], pa.list_(pa.int32())), pa.array([t.decode("utf-8", "replace") for t in back])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
+                    cols += [_lists(joined)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
                 a = b
 
     kind = dict(df.dtypes)[doc_id]
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids)
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -30,10 +30,15 @@ _SIGN[:128] = True
 _SIGN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
+def plain_words(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :meth:`Block.words`, with ASCII signs as white space (in the buffer, too)."""
+    b.buf = np.where(_SIGN[b.buf], np.uint8(32), b.buf)
+    return b.words()
+
+
 def grams(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of all words, pairs and skip pairs of a lower-cased block."""
-    b.buf = np.where(_SIGN[b.buf], np.uint8(32), b.buf)
-    s, e, first = b.words()
+    s, e, first = plain_words(b)
     h, doc = span_hash(prefix_hash(b.buf), s, e), doc_of(first)
     rows, feats = [doc], [h]
     for gap in (1, 2):
