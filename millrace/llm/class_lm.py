@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._blobs import chunked, columns, pack, split, unpack
 from ._store import drop_table, table
 from ._text import U64, doc_of, prefix_hash, span_hash
@@ -100,6 +101,7 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
     ``buckets``: shares of the vocabulary; four times spark.sql.shuffle.partitions if None.
     """
     spark = df.sparkSession
+    ship(spark)
     sc = spark.sparkContext
     nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(df.dtypes)[doc_id]

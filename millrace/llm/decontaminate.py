@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._text import Block, U64, blocks, combine, doc_of, mix, prefix_hash, span_hash
 from .toxicity import plain_words
 
@@ -178,6 +179,7 @@ def count_seeds(df: DataFrame, items: Items, text: str = "text") -> dict[int, in
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, least: float = 0.5, text: str = "text", keep_all: bool = False) -> DataFrame:
     """The clean rows of ``df``; with ``keep_all`` all rows, with the best match as ``match`` and ``contaminated``."""
+    ship(df.sparkSession)
     out = df.withColumn("_match", F.lit(0.0))
     schema = out.schema
     for items in benchmark_parts(benchmark, text):

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._linear import fit_linear, gram_codes, sigmoid
 from ._text import Block, blocks
 
@@ -149,6 +150,7 @@ def language_id(df: DataFrame, held_out: F.Column | None = None, per_lang: int =
 
     ``held_out``: a boolean column, rows that aren't learned from; by default crc32 of the id's text mod 3 = 1.
     """
+    ship(df.sparkSession)
     if held_out is None:
         held_out = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
     rows = df.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(lang).alias("lang"), F.col(text).alias("text"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._text import Block, U64, blocks, combine, mix, prefix_hash, span_hash
 
 SALTS = 16
@@ -81,6 +82,7 @@ def windows(h: np.ndarray, words: np.ndarray, doc: np.ndarray, min_words: int) -
 
 def line_dedup(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text: str = "text", drop_empty: bool = True) -> DataFrame:
     """``df`` without later copies of repeated runs of lines; the same columns."""
+    ship(df.sparkSession)
     keyed = df.withColumn("_h", F.xxhash64(text))
 
     def find(batches):

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..session import ship
 from ._store import drop_table, table
 from ._text import Block, U64, blocks, combine, mix, prefix_hash, span_hash
 
@@ -198,6 +199,7 @@ def near_dedup(df: DataFrame, num: int = 70, den: int = 100, size: int = 5, marg
     Documents are linked if den * intersection >= num * union of their sets of ``size``-word shingles; components
     are named by their smallest id.
     """
+    ship(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     all_, _ = table(_sketches(docs, size), "sketches")
     some = all_.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())

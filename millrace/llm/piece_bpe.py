@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Distinct words whose ids a task remembers; beyond, it starts afresh (speed only).
 CACHE_WORDS = 250_000
 #: Words that a round of merges handles together, so that its arrays stay in the processor's cache.
@@ -237,6 +239,8 @@ def piece_bpe(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
     ``model_path`` must name the file on every executor. Null and empty texts: no ids.
     """
 
+    ship(df.sparkSession)
+
     def encode(batches):
         model, cache = load(model_path), Cache()
         for batch in batches:

@@ -38,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._blobs import chunked, columns, pack, split, unpack
 from ._store import table
 from ._text import Block, U64, mix, prefix_hash, span_hash
@@ -166,6 +167,7 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
     ``buckets``: tasks' shares of the anchors; four times spark.sql.shuffle.partitions if None.
     """
     spark = df.sparkSession
+    ship(spark)
     nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(df.dtypes)[doc_id]
     i64, binary = pa.int64(), pa.binary()

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._linear import sigmoid
 from ._text import Block, U64, blocks, doc_of, mix, prefix_hash, span_hash
 
@@ -96,6 +97,7 @@ def toxicity(df: DataFrame, labels: DataFrame, held_out: F.Column | None = None,
     ``labels``: doc_id and ``label`` (0 or 1). ``held_out``: a boolean column on doc_id, rows whose labels aren't
     learned from; by default crc32 of the id's text mod 3 = 1.
     """
+    ship(df.sparkSession)
     if held_out is None:
         held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ._linear import fit_linear, gram_rows, sigmoid, sparse
 from ._text import Block, blocks
 
@@ -101,6 +102,7 @@ def url_filter(df: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple
 
     ``rules``: (verdict, rule) pairs; ``labelled``: (url, 1 to block) rows for the model.
     """
+    ship(df.sparkSession)
     weights, bias = fit(tuple(labelled if labelled is not None else builtin_labelled()))
     model = df.sparkSession.sparkContext.broadcast((weights, bias))  # 2 ** BITS floats
 
