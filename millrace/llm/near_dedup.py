@@ -169,31 +169,63 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _cross_pairs(ids, comp, band: int, regs: np.ndarray, n: np.ndarray, home: np.ndarray, least: float) -> tuple[list, list]:
+    """Likely pairs of different components in one group."""
+    a, b = [], []
+    step = max(1, (8 << 20) // regs.size)
+    bands = regs.shape[1] // ROWS
+    for p in range(0, len(ids), step):  # some rows against all after them
+        same = regs[p : p + step, None, :] == regs[None, p:, :]
+        near = same.sum(2) >= (least - 0.05) * regs.shape[1]
+        near &= (comp[p : p + step, None] != comp[None, p:]) & (home[p : p + step, None] | home[None, p:])
+        i, j = np.nonzero(np.triu(near, 1))
+        # a pair belongs to the first band that both are equal in
+        mine = same[i, j, : ROWS * bands].reshape(len(i), bands, ROWS).all(2).argmax(1) == band
+        i, j = i[mine] + p, j[mine] + p
+        if len(i):
+            ok = estimate(regs[i], regs[j], n[i], n[j]) >= least
+            x, y = ids[i[ok]], ids[j[ok]]
+            a += np.minimum(x, y).tolist()
+            b += np.maximum(x, y).tolist()
+    return a, b
+
+
 def _across(groups: DataFrame, least: float) -> DataFrame:
-    """Likely (a, b) pairs of different components in a key's group; rows: key, block, doc_id, comp, sketch, n_shingles, home."""
+    """Likely (a, b) pairs of different components in a key's group; rows: key, band, block, doc_id, comp, sketch, n_shingles, home."""
+    kind = dict(groups.dtypes)["doc_id"]
 
-    def run(t: pa.Table) -> pa.Table:
-        ids, comp = t["doc_id"].to_pylist(), t["comp"].to_numpy()
+    def run(batches):
+        rest, typ = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            typ = t.schema.field("doc_id").type
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            rest, out = _groups(t, typ, last=False)
+            yield from out
+        if rest is not None:
+            yield from _groups(rest, typ, last=True)[1]
+
+    def _groups(t: pa.Table, typ, last: bool):
+        """Handles the complete groups of sorted rows; returns the rows of the last one, if it may go on."""
+        key, block = t["key"].to_numpy(), t["block"].to_numpy()
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(key)]
+        end = len(cut) - 1 if last else len(cut) - 2
+        ids, comp, n, home, band = np.array(t["doc_id"].to_pylist(), object), t["comp"].to_numpy(), t["n_shingles"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), t["band"].to_numpy()
         regs = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
-        n, home = t["n_shingles"].to_numpy(), t["home"].to_numpy(zero_copy_only=False)
         a, b = [], []
-        for i in range(t.num_rows):  # each text against those after it in other components: a vector at a time
-            j = np.arange(i + 1, t.num_rows)
-            j = j[(comp[j] != comp[i]) & (home[i] | home[j])]
-            if len(j):
-                j = j[(regs[j] == regs[i]).sum(1) >= (least - 0.1) * regs.shape[1]]
-            if len(j):
-                j = j[estimate(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), n[i]), n[j]) >= least]
-            a += [min(ids[i], ids[k]) for k in j]
-            b += [max(ids[i], ids[k]) for k in j]
-        kind = t.schema.field("doc_id").type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+        for p, q in zip(cut[:end], cut[1 : end + 1]):
+            x, y = _cross_pairs(ids[p:q], comp[p:q], int(band[p]), regs[p:q], n[p:q], home[p:q], least)
+            a += x
+            b += y
+        out = [pa.RecordBatch.from_arrays([pa.array(a, typ), pa.array(b, typ)], ["a", "b"])]
+        return (None if last else t.slice(cut[end])), out
 
-    kind = dict(groups.dtypes)["doc_id"]
-    return groups.groupBy("key", "block").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    return groups.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def near_dedup(df: DataFrame, num: int = 70, den: int = 100, size: int = 5, margin: float = 0.2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(df: DataFrame, num: int = 70, den: int = 100, size: int = 5, margin: float = 0.17, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest id with an equal set), links (confirmed of its class).
 
     Documents are linked if den * intersection >= num * union of their sets of ``size``-word shingles; components
@@ -205,10 +237,10 @@ def near_dedup(df: DataFrame, num: int = 70, den: int = 100, size: int = 5, marg
     some = all_.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes, p_classes = table(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
     reps = some.join(classes.select("d1", "d2", F.col("class_id").alias("doc_id")), ["d1", "d2", "doc_id"]).dropDuplicates(["doc_id"])
-    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
+    keyed = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    groups, p_groups = table(keyed.withColumn("salt", salt("doc_id")).join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]).select("key", "doc_id", "first", "n"), "groups")
+    groups, p_groups = table(keyed.withColumn("salt", salt("doc_id")).join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]).select("key", "band", "doc_id", "first", "n"), "groups")
     least = num / den - margin
     star = groups.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely, p1 = table(_likely(star, reps, least), "likely")
@@ -228,7 +260,7 @@ def near_dedup(df: DataFrame, num: int = 70, den: int = 100, size: int = 5, marg
     rest = rest.join(label("first", "comp1"), "first", "left").withColumn("own", own)
     # texts of the first member's component are in one block each, all others in every block
     rest = rest.withColumn("block", F.explode(F.when(F.col("comp") == main, F.array("own")).otherwise(F.sequence(F.lit(0), n_blocks - 1)))).withColumn("home", F.col("own") == F.col("block"))
-    more, p3 = table(_across(rest.select("key", "block", "doc_id", "comp", "sketch", "n_shingles", "home"), least), "across")
+    more, p3 = table(_across(rest.select("key", "band", "block", "doc_id", "comp", "sketch", "n_shingles", "home"), least), "across")
     more = more.join(likely, ["a", "b"], "left_anti")
     links2, p4 = table(_confirm(more, docs, size, num, den), "links")
     links = links.unionByName(links2)

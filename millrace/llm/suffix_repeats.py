@@ -184,7 +184,7 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
                 place.append(p + at)
                 h.append(q)
                 i = j
-            out = columns(True, chunk=([number], i64), sizes=([pack((b.end - b.start).astype(np.int32))], binary), body=([zstandard.compress(b.buf.tobytes(), 3)], binary), place=([pack(np.concatenate(place).astype(np.int32))], binary), hashes=([np.concatenate(h).tobytes()], binary))
+            out = columns(True, chunk=([number], i64), sizes=([pack((b.end - b.start).astype(np.int32))], binary), body=([zstandard.compress(b.buf.tobytes(), 6)], binary), place=([pack(np.concatenate(place).astype(np.int32))], binary), hashes=([np.concatenate(h).tobytes()], binary))
             out = out.append_column("ids", pa.array([ids.to_pylist()], pa.list_(ids.type)))
             yield out.select(["chunk", "ids", "sizes", "body", "place", "hashes"])
 
@@ -240,7 +240,7 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
             # a row's own length bytes end it, so that equal bytes of other lengths differ
             uniq, inv = np.unique(np.concatenate([full, np.full((len(full), 1), 1, np.uint8)], axis=1).view(f"S{full.shape[1] + 1}").ravel(), return_inverse=True)
             u = uniq.view(np.uint8).reshape(len(uniq), -1)[:, :-1]
-            out.append((b, pack(place[j].astype(np.int32)), pack(u[:, : wide + length]), pack(inv.astype(np.int32)), u[:, wide + length :].tobytes()))
+            out.append((b, pack(place[j].astype(np.int32)), pack(u[:, : wide + length], 5), pack(inv.astype(np.int32)), u[:, wide + length :].tobytes()))
         return columns(bucket=([r[0] for r in out], pa.int32()), chunk=([row["chunk"]] * len(out), i64), place=([r[1] for r in out], binary), context=([r[2] for r in out], binary), rows=([r[3] for r in out], binary), sizes=([r[4] for r in out], binary))
 
     def match(t: pa.Table) -> pa.Table:
