@@ -78,10 +78,10 @@ def chunks(p: DataFrame, n: int = 5, prime: int = 7919) -> DataFrame:
     return p.withColumn("chunk", F.pmod(F.pmod(F.col("id") * prime + 13, F.lit(1000003)), F.lit(n)).cast("int"))
 
 
-def kmeans(p: DataFrame, k: int, seed: int = 1, iterations: int = 20) -> DataFrame:
-    """(id, label) by k-means||; k is lowered to the number of points."""
+def kmeans(p: DataFrame, k: int, seed: int = 1, iterations: int = 20, init: str = "k-means||") -> DataFrame:
+    """(id, point, label); ``init`` "random" starts from exactly k points, for a k near the number of points."""
     x = p.select("id", "point", array_to_vector("point").alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=iterations).fit(x)
+    model = KMeans(k=k, seed=seed, maxIter=iterations, initMode=init, solver="row").fit(x)
     return model.transform(x).select("id", "point", F.col("prediction").alias("label"))
 
 
@@ -131,7 +131,7 @@ def bfr(p: DataFrame, k: int, dims: int, n_chunks: int = 5, seed: int = 1, wide:
     cut = cut or (lambda df: df.checkpoint())
     p = cut(chunks(p, n_chunks))
     first = p.where("chunk = 0")
-    fine = cut(kmeans(first, max(2, min(k * wide, first.count() // 2)), seed))
+    fine = cut(kmeans(first, max(2, min(k * wide, first.count() // 2)), seed, init="random"))
     big = fine.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= small).select("label")
     main = fine.join(big, "label", "left_semi")
     rs = cut(fine.join(big, "label", "left_anti").select("id", "point"))
@@ -145,7 +145,7 @@ def bfr(p: DataFrame, k: int, dims: int, n_chunks: int = 5, seed: int = 1, wide:
         n = rs.count()
         if n < 3:
             return rs
-        own = cut(kmeans(rs, max(2, min(k * wide, n - 1)), seed))
+        own = cut(kmeans(rs, max(2, min(k * wide, n - 1)), seed, init="random"))
         grouped = own.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
         new = cut(own.join(grouped, "label", "left_semi").withColumn("label", F.col("label") + next_id))
         next_id += k * wide

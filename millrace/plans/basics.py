@@ -166,7 +166,7 @@ def known_minus_test(spark, d):
 _SETS = "SELECT o_custkey AS u, list_sort(list_distinct(list(year(o_orderdate)))) AS a, list_sort(list_distinct(list(1990 + month(o_orderdate)))) AS c FROM orders GROUP BY 1"
 
 
-@query(f"SELECT u, array_to_string(list_sort(list_intersect(a, c)), ',') AS both, array_to_string(list_sort(list_distinct(list_concat(a, c))), ',') AS any, array_to_string(list_sort(list_filter(a, x -> NOT list_contains(c, x))), ',') AS only_a, list_contains(a, 1995) AS has_1995, len(a) AS n FROM ({_SETS})")
+@query(f"SELECT u, array_to_string(list_sort(list_intersect(a, c)), ',') AS both, array_to_string(list_sort(list_distinct(list_concat(a, c))), ',') AS any, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(c, x))), ',') AS only_a, list_contains(a, 1995) AS has_1995, len(a) AS n FROM ({_SETS})")
 def array_set_ops(spark, d):
     o = S.parquet(spark, d, "orders").groupBy(F.col("o_custkey").alias("u")).agg(F.collect_set(F.year("o_orderdate")).alias("a"), F.collect_set(F.month("o_orderdate") + 1990).alias("c"))
     text = lambda x: F.array_join(F.array_sort(x), ",")

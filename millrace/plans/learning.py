@@ -277,9 +277,9 @@ def kmeans_sizes(spark, d):
 
 @query()
 def bfr_rounds(spark, d):
-    return C.bfr(V.vectors(spark, d).select("id", "point"), 10, 64, small=5)[0]
+    return C.bfr(V.vectors(spark, d).select("id", "point"), 10, 64, wide=2, small=3)[0]
 
 
 @query()
 def bfr_labels(spark, d):
-    return C.bfr(V.vectors(spark, d).select("id", "point"), 10, 64, small=5)[1]
+    return C.bfr(V.vectors(spark, d).select("id", "point"), 10, 64, wide=2, small=3)[1]
