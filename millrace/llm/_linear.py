@@ -47,18 +47,33 @@ def sparse(rows: np.ndarray, feats: np.ndarray, n: int, dim: int, value: str = "
     return r, f, v / norm[r]
 
 
-def fit_linear(r, f, v, y, dim: int, loss: str, l2: float = 1e-4, steps: int = 200, weight=None) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear model by accelerated full gradients; loss: logistic, or squared hinge (an L2-SVM)."""
-    n = len(y)
+def fit_linear(r, f, v, y, dim: int, l2: float = 1e-4, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on (row, feature, value) entries, by accelerated full gradients."""
     s = np.where(y > 0, 1.0, -1.0)
-    c = np.ones(n) / n if weight is None else weight / weight.sum()
+
+    def slope(w, b):
+        g = -s / (1 + np.exp(np.clip(s * (np.bincount(r, v * w[f], len(y)) + b), -500, 500))) / len(y)
+        return np.bincount(f, v * g[r], dim) + l2 * w, g.sum()
+
+    return _accelerated(slope, dim, 2.0, steps)
+
+
+def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 80) -> tuple[np.ndarray, float]:
+    """An L2-SVM (squared hinge) on unit vectors; rows with ``weight`` 0 don't count."""
+    s = np.where(y > 0, 1.0, -1.0)
+
+    def slope(w, b):
+        g = -2 * weight * s * np.maximum(0, 1 - s * (x @ w.astype(np.float32) + b))
+        return g.astype(np.float32) @ x + l2 * w, g.sum()
+
+    return _accelerated(slope, x.shape[1], 0.25, steps)
+
+
+def _accelerated(slope, dim: int, rate: float, steps: int) -> tuple[np.ndarray, float]:
     w, b, zw, zb, t = np.zeros(dim), 0.0, np.zeros(dim), 0.0, 1.0
-    rate = (4.0 if loss == "logistic" else 0.5) / 2.0
     for _ in range(steps):
-        m = s * (np.bincount(r, v * zw[f], n) + zb)
-        g = -c * s / (1 + np.exp(np.clip(m, -500, 500))) if loss == "logistic" else -2 * c * s * np.maximum(0, 1 - m)
-        nw = zw - rate * (np.bincount(f, v * g[r], dim) + l2 * zw)
-        nb = zb - rate * g.sum()
+        gw, gb = slope(zw, zb)
+        nw, nb = zw - rate * gw, zb - rate * gb
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         zw, zb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ._linear import fit_linear, gram_codes, sigmoid
+from ._linear import fit_dense, gram_codes, sigmoid
 from ._text import Block, blocks
 
 BITS, ORDERS = 13, (1, 2, 3, 4)
@@ -84,19 +84,19 @@ class Model:
             self._add(w, b, x, np.where(family == k, 1, -1), len(self.families) > 1)
         self.pairs = [[(i, j) for n, i in enumerate(m) for j in m[n + 1 :]] for m in self.members]
         for i, j in [p for ps in self.pairs for p in ps]:
-            at = (lang == i) | (lang == j)
-            self._add(w, b, x[at], np.where(lang[at] == i, 1, -1), True)
+            self._add(w, b, x, np.where(lang == i, 1, np.where(lang == j, -1, 0)), True)
         self.w = np.stack(w, 1).astype(np.float32) if w else np.empty((1 << BITS, 0), np.float32)
         self.b = np.array(b)
 
     @staticmethod
     def _add(w, b, x, y, needed):
-        if not needed or len(set(y.tolist())) < 2:
-            w.append(np.zeros(x.shape[1])), b.append(float(y[0]) if len(y) else 0.0)
+        """One SVM on the rows whose ``y`` isn't 0."""
+        signs = set(y[y != 0].tolist())
+        if not needed or len(signs) < 2:
+            w.append(np.zeros(x.shape[1])), b.append(float(next(iter(signs), 0)))
             return
-        r, f = np.nonzero(x)
-        weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum()))
-        a, c = fit_linear(r, f, x[r, f].astype(np.float64), y, x.shape[1], "hinge", l2=1e-4, steps=60, weight=weight)
+        weight = np.where(y > 0, 1 / (y > 0).sum(), np.where(y < 0, 1 / max(1, (y < 0).sum()), 0)) / 2
+        a, c = fit_dense(x, y, weight)
         w.append(a), b.append(c)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ class Model:
         return lang, score
 
 
-def train(df: DataFrame, per_lang: int = 1500, max_rows: int = 20_000, families: dict[str, str] | None = None) -> Model:
+def train(df: DataFrame, per_lang: int = 1000, max_rows: int = 20_000, families: dict[str, str] | None = None) -> Model:
     """Fits on (doc_id, text, lang) rows that may be learned from."""
     rows = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows // 2).collect()}
@@ -145,7 +145,7 @@ def train(df: DataFrame, per_lang: int = 1500, max_rows: int = 20_000, families:
     return Model([texts[i] for i in use], [langs[i] for i in use], FAMILY if families is None else families)
 
 
-def language_id(df: DataFrame, held_out: F.Column | None = None, per_lang: int = 1500, max_rows: int = 20_000, families: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def language_id(df: DataFrame, held_out: F.Column | None = None, per_lang: int = 1000, max_rows: int = 20_000, families: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     ``held_out``: a boolean column, rows that aren't learned from; by default crc32 of the id's text mod 3 = 1.

@@ -57,7 +57,7 @@ def fit(labelled: tuple[tuple[str, int], ...]) -> tuple[np.ndarray, float]:
     b = Block(["".join(_host_path(u)).encode() for u, _ in labelled])
     r, f, v = sparse(*gram_rows(b, ORDERS, BITS), b.n, 1 << BITS)
     y = np.array([k for _, k in labelled])
-    w, bias = fit_linear(r, f, v, y, 1 << BITS, "logistic", l2=1e-5, steps=600)
+    w, bias = fit_linear(r, f, v, y, 1 << BITS, l2=1e-5, steps=600)
     return w.astype(np.float32), bias
 
 
