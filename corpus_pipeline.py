@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm._sieve import anti_join
 from millrace.llm._store import table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.line_dedup import line_dedup
@@ -17,8 +18,9 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. The verdict depends on text and language only, so these are the key."""
     key = F.struct(F.xxhash64("text", "lang").alias("h"), F.length("text").alias("n"))
     bad = quality_rules(docs.select(key.alias("key"), "text", "lang"), doc_id="key").where(~F.col("kept")).select("doc_id.h", "doc_id.n").distinct()
-    bad = bad.withColumnsRenamed({"h": "_bh", "n": "_bn"})
-    return docs.join(bad, (F.xxhash64("text", "lang") == F.col("_bh")) & F.length("text").eqNullSafe(F.col("_bn")), "left_anti")
+    bad, _ = table(bad.withColumnsRenamed({"h": "_bh", "n": "_bn"}), "rejected")
+    h = F.xxhash64("text", "lang")
+    return anti_join(docs, bad, h, F.col("_bh"), (h == F.col("_bh")) & F.length("text").eqNullSafe(F.col("_bn")))
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id stays of each group."""
-    bad = near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad, _ = table(near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct(), "copies")
+    return anti_join(docs, bad, F.xxhash64("doc_id"), F.xxhash64("_bad"), F.col("doc_id") == F.col("_bad"))
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._sieve import sieve, split
+from ._store import table
 from ._text import Block, U64, blocks, combine, mix, prefix_hash, span_hash
 
 SALTS = 16
@@ -106,13 +108,16 @@ def line_dedup(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text:
     later = near.join(first, ["w", "salt"]).where(~same | (F.col("a") > F.col("first.z")))
     gone = later.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "z")))).alias("_gone"))  # a text's own lines
 
-    joined = keyed.join(gone.withColumnsRenamed({"_id": "_gid", "_h": "_gh"}), F.col(doc_id).eqNullSafe(F.col("_gid")) & (F.col("_h") == F.col("_gh")), "left").drop("_gid", "_gh", "_h")
+    gone, _ = table(gone, "lines")
+    key = F.xxhash64(doc_id, "_h")
+    maybe, rest = split(keyed, sieve(gone, F.xxhash64("_id", "_h")), key)  # texts that lose nothing aren't shuffled
+    joined = maybe.join(gone.withColumnsRenamed({"_id": "_gid", "_h": "_gh"}), F.col(doc_id).eqNullSafe(F.col("_gid")) & (F.col("_h") == F.col("_gh")), "left").drop("_gid", "_gh", "_h")
     cut = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_gone"))))
     if drop_empty:
         cut = cut.where(F.col("_gone").isNull() | F.col(text).rlike("[^ \\t-\\r]"))
     if "n_chars" in df.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text)))
-    return cut.select(df.columns)
+    return cut.select(df.columns).unionByName(rest.select(df.columns))
 
 
 def _without(text: F.Column, gone: F.Column) -> F.Column:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import ship
+from ._sieve import sieve, split
 from ._store import drop_table, table
 from ._text import Block, U64, blocks, combine, mix, prefix_hash, span_hash
 
@@ -148,7 +149,9 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
     kind = dict(pairs.dtypes)["a"]
     p = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     need = p.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).union(p.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0)).distinct())
-    rows = docs.join(need, "doc_id").select("a", "salt", "role", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    key = F.xxhash64("doc_id")
+    maybe, _ = split(docs, sieve(need, key), key)
+    rows = maybe.join(need, "doc_id").select("a", "salt", "role", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches):
         at, mine = None, None
