@@ -18,9 +18,9 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. The verdict depends on text and language only, so these are the key."""
     key = F.struct(F.xxhash64("text", "lang").alias("h"), F.length("text").alias("n"))
     bad = quality_rules(docs.select(key.alias("key"), "text", "lang"), doc_id="key").where(~F.col("kept")).select("doc_id.h", "doc_id.n").distinct()
-    bad, _ = table(bad.withColumnsRenamed({"h": "_bh", "n": "_bn"}), "rejected")
+    bad, _ = table(bad.withColumnsRenamed({"h": "__mr_bh", "n": "__mr_bn"}), "rejected")
     h = F.xxhash64("text", "lang")
-    return anti_join(docs, bad, h, F.col("_bh"), (h == F.col("_bh")) & F.length("text").eqNullSafe(F.col("_bn")))
+    return anti_join(docs, bad, h, F.col("__mr_bh"), (h == F.col("__mr_bh")) & F.length("text").eqNullSafe(F.col("__mr_bn")))
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id stays of each group."""
-    bad, _ = table(near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct(), "copies")
-    return anti_join(docs, bad, F.xxhash64("doc_id"), F.xxhash64("_bad"), F.col("doc_id") == F.col("_bad"))
+    bad, _ = table(near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__mr_bad")).distinct(), "copies")
+    return anti_join(docs, bad, F.xxhash64("doc_id"), F.xxhash64("__mr_bad"), F.col("doc_id") == F.col("__mr_bad"))
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

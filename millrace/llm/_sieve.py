@@ -26,13 +26,13 @@ def sieve(keys: DataFrame, h: Column) -> DataFrame:
     got = keys.select(_word(h).alias("w"), _bit(h).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
     for w, v in zip(got["w"].to_pylist(), got["v"].to_pylist()):
         bits[w] = v
-    return F.broadcast(keys.sparkSession.createDataFrame([(bits,)], "_bits array<long>"))
+    return F.broadcast(keys.sparkSession.createDataFrame([(bits,)], "__mr_bits array<long>"))
 
 
 def split(df: DataFrame, bits: DataFrame, h: Column) -> tuple[DataFrame, DataFrame]:
     """Rows whose key may be among the keys, and rows whose key is not."""
-    on = F.getbit(F.get(F.col("_bits"), _word(h)), _bit(h))
-    return tuple(df.join(bits, on == k).drop("_bits") for k in (1, 0))
+    on = F.getbit(F.get(F.col("__mr_bits"), _word(h)), _bit(h))
+    return tuple(df.join(bits, on == k).drop("__mr_bits") for k in (1, 0))
 
 
 def anti_join(df: DataFrame, bad: DataFrame, h: Column, bad_h: Column, on: Column) -> DataFrame:

@@ -74,10 +74,10 @@ class Items:
     def keep_rare(self, counts: dict[int, int]) -> None:
         n = np.array([counts.get(int(s), 0) for s in self.seed.view(np.int64)])
         keep = np.zeros(len(n), bool)
-        for i in range(len(self.words)):
-            mine = self.item == i
-            if mine.any():
-                keep |= mine & (n <= np.median(n[mine]))
+        cut = np.searchsorted(self.item, np.arange(len(self.words) + 1)).tolist()
+        for a, z in zip(cut, cut[1:]):
+            if z > a:
+                keep[a:z] = n[a:z] <= np.median(n[a:z])
         order = np.argsort(self.seed[keep], kind="stable")
         self.seed, self.item, self.place = self.seed[keep][order], self.item[keep][order], self.place[keep][order]
         self.lengths = sorted({min(len(h), SEED) for h in self.words if len(h)})
@@ -180,7 +180,7 @@ def count_seeds(df: DataFrame, items: Items, text: str = "text") -> dict[int, in
 def decontaminate(df: DataFrame, benchmark: DataFrame, least: float = 0.5, text: str = "text", keep_all: bool = False) -> DataFrame:
     """The clean rows of ``df``; with ``keep_all`` all rows, with the best match as ``match`` and ``contaminated``."""
     ship(df.sparkSession)
-    out = df.withColumn("_match", F.lit(0.0))
+    out = df.withColumn("__mr_match", F.lit(0.0))
     schema = out.schema
     for items in benchmark_parts(benchmark, text):
         items.keep_rare(count_seeds(df, items, text))
@@ -194,5 +194,5 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, least: float = 0.5, text:
 
         out = out.mapInArrow(judge, schema)
     if keep_all:
-        return out.withColumn("contaminated", F.col("_match") >= least).withColumnRenamed("_match", "match")
-    return out.where(F.col("_match") < least).drop("_match")
+        return out.withColumn("contaminated", F.col("__mr_match") >= least).withColumnRenamed("__mr_match", "match")
+    return out.where(F.col("__mr_match") < least).drop("__mr_match")

@@ -85,7 +85,7 @@ def windows(h: np.ndarray, words: np.ndarray, doc: np.ndarray, min_words: int) -
 def line_dedup(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text: str = "text", drop_empty: bool = True) -> DataFrame:
     """``df`` without later copies of repeated runs of lines; the same columns."""
     ship(df.sparkSession)
-    keyed = df.withColumn("_h", F.xxhash64(text))
+    keyed = df.withColumn("__mr_h", F.xxhash64(text))
 
     def find(batches):
         for batch in batches:
@@ -96,7 +96,7 @@ def line_dedup(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(finger.view(np.int64)), pa.array(code.view(np.int64)), pa.array(number[a].astype(np.int32)), pa.array(number[z].astype(np.int32))], ["_id", "_h", "f", "w", "a", "z"])
 
     kind = dict(df.dtypes)[doc_id]
-    found = keyed.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), "_h", F.col(text).alias("_t")).mapInArrow(find, f"_id {kind}, _h long, f long, w long, a int, z int")
+    found = keyed.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col("__mr_h").alias("_h"), F.col(text).alias("_t")).mapInArrow(find, f"_id {kind}, _h long, f long, w long, a int, z int")
     salt = F.pmod(F.xxhash64("_h", "a"), F.lit(SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     # fingerprints that more than one place has (partial sums come before the shuffle)
@@ -106,17 +106,17 @@ def line_dedup(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text:
     first = near.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first", salts.alias("salt"))
     same = F.col("first._id").eqNullSafe(F.col("_id")) & (F.col("first._h") == F.col("_h"))
     later = near.join(first, ["w", "salt"]).where(~same | (F.col("a") > F.col("first.z")))
-    gone = later.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "z")))).alias("_gone"))  # a text's own lines
+    gone = later.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "z")))).alias("__mr_gone"))  # a text's own lines
 
     gone, _ = table(gone, "lines")
-    key = F.xxhash64(doc_id, "_h")
+    key = F.xxhash64(doc_id, "__mr_h")
     maybe, rest = split(keyed, sieve(gone, F.xxhash64("_id", "_h")), key)  # texts that lose nothing aren't shuffled
-    joined = maybe.join(gone.withColumnsRenamed({"_id": "_gid", "_h": "_gh"}), F.col(doc_id).eqNullSafe(F.col("_gid")) & (F.col("_h") == F.col("_gh")), "left").drop("_gid", "_gh", "_h")
-    cut = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_gone"))))
+    joined = maybe.join(gone.withColumnsRenamed({"_id": "__mr_gid", "_h": "__mr_gh"}), F.col(doc_id).eqNullSafe(F.col("__mr_gid")) & (F.col("__mr_h") == F.col("__mr_gh")), "left").drop("__mr_gid", "__mr_gh", "__mr_h")
+    cut = joined.withColumn(text, F.when(F.col("__mr_gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("__mr_gone"))))
     if drop_empty:
-        cut = cut.where(F.col("_gone").isNull() | F.col(text).rlike("[^ \\t-\\r]"))
+        cut = cut.where(F.col("__mr_gone").isNull() | F.col(text).rlike("[^ \\t-\\r]"))
     if "n_chars" in df.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text)))
+        cut = cut.withColumn("n_chars", F.when(F.col("__mr_gone").isNull(), F.col("n_chars")).otherwise(F.length(text)))
     return cut.select(df.columns).unionByName(rest.select(df.columns))
 
 

@@ -43,7 +43,7 @@ def test_lines_against_brute_force(spark):
     runs = [[line() for _ in range(r.randint(1, 6))] for _ in range(6)]
     rows = [(i, "\n".join(sum([r.choice(runs) if r.random() < 0.5 else [line()] for _ in range(r.randint(0, 8))], []))) for i in range(80)]
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "q " * 20_000 + "\n" + "q " * 20_000)]
-    df = spark.createDataFrame([(i, t, "w") for i, t in rows], "doc_id long, text string, w string").repartition(3)
+    df = spark.createDataFrame([(i, t, "w", 1) for i, t in rows], "doc_id long, text string, _h string, _gone int").repartition(3)
     got = {x.doc_id: x.text for x in line_dedup(df, min_words=8, drop_empty=False).collect()}
     want = brute_lines(rows, 8)
     assert got == {i: None if t is None else want[i] for i, t in rows}
@@ -76,7 +76,7 @@ def test_decontamination(spark):
         edited = [w if r.random() > 0.12 else word() for w in it]
         del edited[r.randrange(len(edited))]
         rows.append((100 + k, " ".join([word() for _ in range(100)] + [w.upper() + "," for w in (it if k % 2 else edited)] + [word() for _ in range(500)])))
-    docs = spark.createDataFrame([(i, t, "m") for i, t in rows], "doc_id long, text string, match string").repartition(2)
+    docs = spark.createDataFrame([(i, t, "m") for i, t in rows], "doc_id long, text string, _match string").repartition(2)
     bench = spark.createDataFrame([(k, " ".join(it)) for k, it in enumerate(items)] + [(90, None), (91, ""), (92, "...")], "item_id long, text string")
     left = {x.doc_id for x in decontaminate(docs, bench).collect()}
     assert left == {i for i, _ in rows if i < 100}
