@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once an application; it needn't be installed there."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":  # the default; whole texts come in batches, so fewer of them at once
+        spark.conf.set(_BATCH, "1000")
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
