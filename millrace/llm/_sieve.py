@@ -36,6 +36,10 @@ def split(df: DataFrame, bits: DataFrame, h: Column) -> tuple[DataFrame, DataFra
 
 
 def anti_join(df: DataFrame, bad: DataFrame, h: Column, bad_h: Column, on: Column) -> DataFrame:
-    """``df`` left-anti ``bad`` on ``on``; only rows that pass the sieve are shuffled. ``bad`` is used twice: a table, best."""
+    """``df`` left-anti ``bad`` on ``on``; only rows that pass the sieve are shuffled. ``bad`` has distinct keys and is used twice: a table, best.
+
+    An outer join and a filter, as the optimizer would push an anti join below the sieve.
+    """
     maybe, rest = split(df, sieve(bad, bad_h), h)
-    return rest.unionByName(maybe.join(bad, on, "left_anti"))
+    mark = bad.withColumn("__mr_found", F.lit(True))
+    return rest.unionByName(maybe.join(mark, on, "left").where(F.col("__mr_found").isNull()).select(df.columns))

@@ -116,6 +116,8 @@ def blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = BLOCK_B
         size += n + 1
     if len(texts) > a:
         yield batch.slice(a), Block(texts[a:], lower)
+    del texts
+    pa.default_memory_pool().release_unused()
 
 
 def doc_of(first: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Distinct words whose ids a task remembers; beyond, it starts afresh (speed only).
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: Words that a round of merges handles together, so that its arrays stay in the processor's cache.
 ROUND_WORDS = 16384
 _NONE = np.iinfo(np.int32).max
@@ -249,7 +249,7 @@ def piece_bpe(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
             while a < len(texts):
                 b, size = a, 0
                 part = []
-                while b < len(texts) and (not part or size < 2 << 20):
+                while b < len(texts) and (not part or size < 1 << 20):
                     x = texts[b].as_py()
                     part.append(x)
                     size += len(x) if x else 0
@@ -259,6 +259,7 @@ def piece_bpe(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
                 cols = [batch.column(0).slice(a, b - a), pa.array([j.count(",") + 1 if j else 0 for j in joined], pa.int64()), pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined]), pa.array([hashlib.sha256(t).hexdigest() for t in back])]
                 if ids:
                     cols += [_lists(joined)]
+                del got, joined, back
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
                 a = b
 
