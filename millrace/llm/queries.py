@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -37,6 +38,24 @@ def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, match (best alignment as a share of an exact copy's score), contaminated, kept."""
+    from .decontaminate import decontaminate
+
+    out = decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), keep_all=True)
+    return out.select("doc_id", "match", "contaminated", (~F.col("contaminated")).alias("kept"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars and n_lines before, n_kept_chars and n_kept_lines after, kept_sha256 of the text that stays."""
+    from .line_dedup import line_dedup
+
+    lines = lambda: F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("long").alias("n_before"), lines().cast("long").alias("n_lines"))
+    out = line_dedup(docs, drop_empty=False)
+    return out.select("doc_id", F.col("n_before").alias("n_chars"), "n_lines", F.length("text").cast("long").alias("n_kept_chars"), lines().cast("long").alias("n_kept_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_id
 

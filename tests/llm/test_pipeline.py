@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -103,3 +104,21 @@ def test_stages(spark):
 @pytest.mark.parametrize("k", range(5))
 def test_stages_are_named(k):
     assert corpus_pipeline.STAGES[k][0]
+
+
+def test_queries_cover_all_documents(spark):
+    from millrace.llm.queries import queries
+
+    folder = "/root/testdata/sf0.001"
+    names = {f"op{n}_": [k for k in queries() if k.startswith(f"op{n}_")] for n in range(1, 11)}
+    assert all(len(v) == 1 for v in names.values())
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id: r.kept_sha256 for r in queries()["op6_line_dedup"](spark, folder).collect()}
+    want = brute_lines([(r.doc_id, r.text) for r in docs.collect()], 25)
+    assert kept == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    found = {r.doc_id: r for r in queries()["op5_decontaminate"](spark, folder).collect()}
+    assert len(found) == docs.count()
+    items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    for r in docs.collect():
+        if any(x in " ".join(r.text.lower().split()) for x in items):
+            assert found[r.doc_id].contaminated and not found[r.doc_id].kept
