@@ -1,19 +1,26 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
 Texts and test items are words (runs of letters and digits, A-Z lower-cased).
-The n-grams of the items are counted over all documents; each item's seeds are
-those no more frequent than its median n-gram, so at least half of them, however
-common. A seed's place in a document names a passage around it, as long as the
-item and a half more on either side, which is aligned with the item by
-Smith-Waterman over words: substitutions, gaps and reordered ends cost score,
-and a document is contaminated if an alignment reaches ``least`` of the score of
-an exact copy.
+A document is contaminated if a Smith-Waterman alignment over words with an item
+(substitutions, gaps and reordered ends cost score) reaches ``least`` of the
+score of an exact copy. Seeds lose no such alignment: with M matched words and
+a score of T or more it has at most 2 M - T edits, so of the M - 1 steps from a
+matched word to the next at most M - T / 2 have two edits or more, and at least
+K = T / 2 - 1 have one or none. Such a step is a pair of words that are next to
+each other, or have one word between, in the item and in the document. Each
+step begins at another word of the item, so one of them begins outside any
+K - 1 words: an item's pairs are counted over all documents and its seeds are
+all pairs but those that begin at its K - 1 most frequent places. A seed's place
+in a document names a passage around it, as long as the item and the longest
+gaps on either side, which is aligned with the item.
 
 Items are broadcast in parts of at most ``MAX_PART_WORDS`` words; a larger
 benchmark takes several passes over the documents, with the same result.
 
 Defined results: null and empty texts are clean; items without words are never
-found; an item of fewer words than a seed is its own seed. Documents are judged
+found; an item of one word is its own seed, of longer ones two words near each
+other are needed, even where one would reach ``least``. The best match is exact
+from ``least`` on; a smaller one is a lower bound. Documents are judged
 row by row, so repeated rows, ties and extra columns need no care; empty tables
 give empty results.
 """
@@ -26,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ._text import Block, U64, blocks, combine, doc_of, mix, prefix_hash, span_hash
+from ._text import Block, U64, blocks, doc_of, mix, prefix_hash, span_hash
 from .toxicity import plain_words
 
-SEED = 3
+#: Distances of the words of a pair; an item of one word is a pair with itself.
+LAGS = (1, 2)
 MATCH, MISMATCH, GAP = 2, -1, -1
 MAX_PART_WORDS = 1_000_000
 
@@ -61,12 +69,17 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
 class Items:
     """Word hashes of some items, and the seeds that lead to them."""
 
-    def __init__(self, hashes: list[np.ndarray]):
+    def __init__(self, hashes: list[np.ndarray], least: float):
         self.words = hashes
+        size = np.array(list(map(len, hashes)), np.int64)
+        self.score = np.ceil(MATCH * size * least - 1e-9).astype(np.int64)  # what an alignment must reach
+        self.slack = np.maximum(MATCH * size - self.score, 0)  # most edits of such an alignment
+        self.lags = sorted({k for m in size.tolist() for k in (LAGS if m > 1 else (0,))})
         seeds, item, place = [], [], []
         for i, h in enumerate(hashes):
-            g = seed_hashes(h)
-            seeds.append(g), item.append(np.full(len(g), i)), place.append(np.arange(len(g)))
+            for k in LAGS if len(h) > 1 else (0,):
+                g = pair_hashes(h, k)
+                seeds.append(g), item.append(np.full(len(g), i)), place.append(np.arange(len(g)))
         self.seed = np.concatenate(seeds) if seeds else np.empty(0, U64)
         self.item = np.concatenate(item) if item else np.empty(0, np.int64)
         self.place = np.concatenate(place) if place else np.empty(0, np.int64)
@@ -75,16 +88,22 @@ class Items:
         n = np.array([counts.get(int(s), 0) for s in self.seed.view(np.int64)])
         keep = np.zeros(len(n), bool)
         cut = np.searchsorted(self.item, np.arange(len(self.words) + 1)).tolist()
-        for a, z in zip(cut, cut[1:]):
+        for (a, z), score in zip(zip(cut, cut[1:]), self.score.tolist()):
             if z > a:
-                keep[a:z] = n[a:z] <= np.median(n[a:z])
+                at = np.bincount(self.place[a:z], n[a:z])
+                steps = max(1, -(-score // 2) - 1)  # places where an alignment has a seed, at least
+                rare = np.zeros(len(at), bool)
+                rare[np.argsort(at, kind="stable")[: max(0, len(at) - steps + 1)]] = True
+                keep[a:z] = rare[self.place[a:z]]
+        keep &= n > 0
         order = np.argsort(self.seed[keep], kind="stable")
         self.seed, self.item, self.place = self.seed[keep][order], self.item[keep][order], self.place[keep][order]
-        self.lengths = sorted({min(len(h), SEED) for h in self.words if len(h)})
 
 
-def seed_hashes(h: np.ndarray) -> np.ndarray:
-    return combine(h, min(SEED, len(h))) if len(h) else np.empty(0, U64)
+def pair_hashes(h: np.ndarray, lag: int) -> np.ndarray:
+    """Hashes of each word with the word ``lag`` places on."""
+    x = mix(h + U64(0x632BE59BD9B4E019))
+    return mix(x[: len(x) - lag] * U64(0x9E3779B97F4A7C15) + x[lag:]) if len(x) > lag else np.empty(0, U64)
 
 
 def _found(known: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -98,12 +117,12 @@ def _found(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     return i[known[at] == h[i]]
 
 
-def _grams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram hashes inside texts, and their places."""
-    if len(h) < n:
+def _pairs(h: np.ndarray, doc: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pair hashes inside texts, and their places."""
+    if len(h) <= lag:
         return np.empty(0, U64), np.empty(0, np.int64)
-    at = np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1])
-    return combine(h, n)[at], at
+    at = np.flatnonzero(doc[lag:] == doc[: len(doc) - lag])
+    return pair_hashes(h, lag)[at], at
 
 
 def best_matches(b: Block, items: Items) -> np.ndarray:
@@ -111,26 +130,28 @@ def best_matches(b: Block, items: Items) -> np.ndarray:
     h, first = word_hashes(b)
     doc = doc_of(first)
     todo: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for n in items.lengths:
-        g, at = _grams(h, doc, n)
-        for k in _found(items.seed, g).tolist():
-            p = int(at[k])
-            d = int(doc[p])
-            for j in range(np.searchsorted(items.seed, g[k]), np.searchsorted(items.seed, g[k], "right")):
-                i = int(items.item[j])
-                m = len(items.words[i])
-                lo, hi = p - int(items.place[j]) - m // 2 - 1, p - int(items.place[j]) + m + m // 2 + 1
-                spans = todo.setdefault((d, i), [])
-                if spans and lo <= spans[-1][1]:  # one seed length finds places in order
-                    spans[-1] = (min(lo, spans[-1][0]), max(hi, spans[-1][1]))
-                else:
-                    spans.append((lo, hi))
+    hits = []
+    for lag in items.lags:
+        g, at = _pairs(h, doc, lag)
+        k = _found(items.seed, g)
+        hits += zip(at[k].tolist(), np.searchsorted(items.seed, g[k]).tolist(), np.searchsorted(items.seed, g[k], "right").tolist())
+    for p, low, high in sorted(hits):
+        d = int(doc[p])
+        for j in range(low, high):
+            i = int(items.item[j])
+            m, more = len(items.words[i]), int(items.slack[i])
+            lo, hi = p - int(items.place[j]) - more, p - int(items.place[j]) + m + more
+            spans = todo.setdefault((d, i), [])
+            if spans and lo <= spans[-1][1]:
+                spans[-1] = (min(lo, spans[-1][0]), max(hi, spans[-1][1]))
+            else:
+                spans.append((lo, hi))
     pairs = []
     for (d, i), spans in todo.items():
-        m = len(items.words[i])
+        m = len(items.words[i]) + int(items.slack[i])  # an alignment is no longer
         for lo, hi in spans:
             lo, hi = max(lo, int(first[d])), min(hi, int(first[d + 1]))
-            pairs += [(d, i, q, min(q + 6 * m, hi)) for q in range(lo, max(lo + 1, hi - 2 * m), 4 * m)]  # long stretches in overlapping parts
+            pairs += [(d, i, q, min(q + 3 * m, hi)) for q in range(lo, max(lo + 1, hi - m), 2 * m)]  # long stretches in overlapping parts
     best = np.zeros(b.n)
     pairs.sort(key=lambda x: (len(items.words[x[1]]), x[3] - x[2]))
     for a in range(0, len(pairs), 256):
@@ -141,34 +162,34 @@ def best_matches(b: Block, items: Items) -> np.ndarray:
     return best
 
 
-def benchmark_parts(benchmark: DataFrame, text: str = "text"):
+def benchmark_parts(benchmark: DataFrame, least: float, text: str = "text"):
     """The items, some at a time: within ``MAX_PART_WORDS`` words, or one."""
     part, total = [], 0
     for row in benchmark.select(text).where(F.col(text).isNotNull()).toLocalIterator():
         h, _ = word_hashes(Block([row[0].encode("utf-8", "replace")], lower=True))
         if part and total + len(h) > MAX_PART_WORDS:
-            yield Items(part)
+            yield Items(part, least)
             part, total = [], 0
         if len(h):
             part.append(h)
             total += len(h)
     if part:
-        yield Items(part)
+        yield Items(part, least)
 
 
 def count_seeds(df: DataFrame, items: Items, text: str = "text") -> dict[int, int]:
     """How often each seed occurs in all documents; at most one row a seed reaches the driver."""
-    shared = df.sparkSession.sparkContext.broadcast((np.unique(items.seed), sorted({min(len(h), SEED) for h in items.words})))
+    shared = df.sparkSession.sparkContext.broadcast((np.unique(items.seed), items.lags))
 
     def count(batches):
-        known, lengths = shared.value
+        known, lags = shared.value
         n = np.zeros(len(known), np.int64)
         for batch in batches:
             for _, b in blocks(batch, text, lower=True):
                 h, first = word_hashes(b)
                 doc = doc_of(first)
-                for k in lengths:
-                    g, _ = _grams(h, doc, k)
+                for k in lags:
+                    g, _ = _pairs(h, doc, k)
                     n += np.bincount(np.searchsorted(known, g[_found(known, g)]), minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(known[at].view(np.int64)), pa.array(n[at])], ["seed", "n"])
@@ -182,7 +203,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, least: float = 0.5, text:
     ship(df.sparkSession)
     out = df.withColumn("__mr_match", F.lit(0.0))
     schema = out.schema
-    for items in benchmark_parts(benchmark, text):
+    for items in benchmark_parts(benchmark, least, text):
         items.keep_rare(count_seeds(df, items, text))
         shared = df.sparkSession.sparkContext.broadcast(items)
 

@@ -85,6 +85,33 @@ def test_decontamination(spark):
     assert decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_of_edited_copies(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    items, rows = [], []
+    for k in range(48):
+        it = [word() for _ in range(r.randint(15, 50))]
+        if k % 6 == 4:  # every third word
+            edited = [word() if j % 3 == 2 else w for j, w in enumerate(it)]
+        elif k % 6 == 5:  # a word after each
+            edited = [x for w in it for x in (w, word())]
+        else:
+            gone = set(r.sample(range(len(it)), round(len(it) * (0.2, 0.25, 0.3, 0.33)[k % 6])))
+            edited = [word() if j in gone else w for j, w in enumerate(it)]
+        items.append(it)
+        rows.append((k, [word() for _ in range(60)] + edited + [word() for _ in range(60)]))
+        if k % 12 < 6:  # beside an exact copy
+            rows.append((100 + k, [word() for _ in range(20)] + it))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(k, " ".join(it)) for k, it in enumerate(items)], "item_id long, text string")
+    got = {x.doc_id: x for x in decontaminate(docs, bench, keep_all=True).collect()}
+    want = {i: slow_align(items[i % 100], x) / (2 * len(items[i % 100])) for i, x in rows}
+    assert sum(v >= 0.5 for i, v in want.items() if i < 100) > 30
+    for i, v in want.items():
+        assert got[i].contaminated == (v >= 0.5), (i, v)
+        assert got[i].match == v or v < 0.5
+
+
 def test_stages(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
