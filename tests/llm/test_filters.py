@@ -82,6 +82,19 @@ def test_quality_base_and_verdicts(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def test_small_languages_have_their_own_band(spark):
+    r = random.Random(3)
+    en, xx = (["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(size)] for letters, size in (("etaoinshr", 60), ("zqxjkvwpb", 3000)))
+    text = lambda vocab: " ".join(r.choice(vocab) for _ in range(80))
+    rows = [(i, text(en), "en") for i in range(400)] + [(1000 + i, text(xx), "xx") for i in range(30)]
+    rows += [(2000, text(xx), "one"), (3000, "short", "none"), *((4000 + i, text(xx), None) for i in range(8))]
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    assert all(x.kept for i, x in got.items() if 1000 <= i < 3000 or i >= 4000)
+    assert len({(x.lower, x.upper) for x in got.values()}) == 5
+    assert not got[3000].kept and got[3000].lower is None
+
+
 def test_kneser_ney_sums_to_one():
     keys, counts = np.unique(np.random.default_rng(1).integers(0, CLASSES**ORDER, 5000) % 40_000, return_counts=True)
     p = np.exp(KneserNey(keys, counts).dense().astype(float)).reshape(-1, CLASSES).sum(axis=1)
