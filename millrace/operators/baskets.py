@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def _combinations2(items):
     return F.flatten(F.transform(at, lambda i: F.transform(F.slice(items, i + 1, F.size(items)), lambda y: F.array(F.element_at(items, i), y))))
 
 
-def frequent_itemsets(b: DataFrame, support: int, max_size: int = 12, cut=None) -> DataFrame:
+def frequent_itemsets(b: DataFrame, support: int, cut=None) -> DataFrame:
     """(size, items, n) of every size, level by level until a level is empty.
 
     ``cut`` materialises a level (default: ``DataFrame.checkpoint``), so plans stay short.
@@ -63,7 +65,7 @@ def frequent_itemsets(b: DataFrame, support: int, max_size: int = 12, cut=None)
     cut = cut or (lambda df: df.checkpoint())
     level = cut(frequent_items(b, support))
     out = level.withColumn("size", F.lit(1))
-    for size in range(2, max_size + 1):
+    for size in count(2):
         level = cut(frequent_pairs(b, support) if size == 2 else next_level(b, level, support, size))
         if level.isEmpty():
             break

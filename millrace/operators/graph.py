@@ -76,17 +76,19 @@ def communities(labels: DataFrame, label: str = "label") -> DataFrame:
 def shortest_paths(e: DataFrame, max_depth: int = 1000, cut=_cut) -> DataFrame:
     """(root, node, dist, sigma) from every node: distances and numbers of shortest paths, level by level.
 
-    A level excludes nodes of the two levels before it, which in an undirected graph is all that it can meet again.
+    Paths longer than ``max_depth`` are an error. A level excludes nodes of the two levels before it, which in an undirected graph is all that it can meet again.
     """
     s = cut(symmetric(e))
     level = s.select(F.col("u").alias("root"), F.col("u").alias("node")).distinct().select("root", "node", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma"))
     out, before = level, level.limit(0)
-    for d in range(1, max_depth + 1):
+    for d in range(1, max_depth + 2):
         step = level.join(s, level["node"] == s["u"]).groupBy("root", F.col("v").alias("node")).agg(F.sum("sigma").alias("sigma"))
         seen = level.select("root", "node").union(before.select("root", "node"))
         nxt = cut(step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(d).alias("dist"), "sigma"))
         if nxt.isEmpty():
             break
+        if d > max_depth:
+            raise RuntimeError(f"paths are longer than {max_depth}")
         out, before, level = out.union(nxt), level, nxt
     return cut(out)
 
@@ -134,16 +136,19 @@ def modularity(e: DataFrame, labels: DataFrame, skip_singletons: bool = False) -
 def girvan_newman(e: DataFrame, max_cuts: int = 1000, cut=_cut, paths_of=None) -> DataFrame:
     """(node, component, q) of the communities where modularity on the original graph last rose (equal goes on).
 
-    Each turn cuts all edges tied at the greatest betweenness; it ends at the first fall, or without edges.
+    Each turn cuts all edges tied at the greatest betweenness; it ends at the first fall, or without edges; more than
+    ``max_cuts`` turns are an error.
     """
     e = cut(e.select("u", "v"))
     nodes = cut(vertices(e))
     best = cut(components(e, nodes, cut))
     q = modularity(e, best).first()["q"]
     left = e
-    for _ in range(max_cuts):
+    for k in range(max_cuts + 1):
         if left.isEmpty():
             break
+        if k == max_cuts:
+            raise RuntimeError(f"not ended after {max_cuts} cuts")
         gone = max_edges(cut(edge_betweenness(left, cut)))
         left = cut(left.join(gone.select("u", "v"), ["u", "v"], "left_anti"))
         now = cut(components(left, nodes, cut))

@@ -187,3 +187,14 @@ def test_programs(spark, tmp_path):
         f(spark, str(users), "100", "3", str(tmp_path / f.__name__))
         assert len(_text(tmp_path / f.__name__).split()) >= 4
     assert programs.main([]) == 2
+
+
+def test_loops_have_no_silent_ends(spark):
+    b = spark.createDataFrame([(k, [chr(97 + i) for i in range(13)]) for k in range(2)], "basket long, items array<string>")
+    assert sorted(r["size"] for r in B.frequent_itemsets(b, 2).groupBy("size").count().collect()) == list(range(1, 14))
+    path = spark.createDataFrame([(i, i + 1) for i in range(4)], "u long, v long")
+    assert G.shortest_paths(path, max_depth=4).agg({"dist": "max"}).first()[0] == 4
+    with pytest.raises(RuntimeError):
+        G.shortest_paths(path, max_depth=3)
+    with pytest.raises(RuntimeError):
+        G.girvan_newman(path, max_cuts=0)
