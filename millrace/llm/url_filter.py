@@ -2,8 +2,9 @@
 
 Defined results: a null url or one without ``://`` has an empty host and path,
 fits no rule and is judged by the model on the empty text (allowed). Rows are
-judged one by one, so ties, repeated rows and empty tables need no care; extra
-columns are ignored.
+judged one by one, so repeated rows and empty tables need no care; of rules of
+equal length a blocking one wins, then the first in order. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,33 +19,15 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ._linear import fit_linear, gram_rows, sigmoid, sparse
 from ._text import Block, blocks
+from .url_table import builtin_labelled
 
 #: Longest list of rules that goes into an expression; longer ones come as a table.
 MAX_LISTED_RULES = 500
 #: Most labelled urls that the model is fitted on, in the driver.
 MAX_LABELLED = 20_000
-BITS, ORDERS = 14, (3, 4, 5)
+BITS, ORDERS = 14, (3, 4)
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_BAD = "cheap pills|spam farm|casino|free casino slots|viagra online|cialis|poker bonus|xxx videos|adult cams|porn tube|hot singles|payday loans|fast loans|replica watches|miracle diet|weight loss pills|crack keygen|warez|torrent serial|malware download|phishing login|link farm|seo spam|get rich quick|crypto doubler|fake rolex|betting tips|escort|free ringtones|win prize|ads track|ad server|click tracker|pop ads|free bets|casino win|bonus spins|pills shop|spam links".split("|")
-_GOOD = "news|blog|wiki|docs|university|library|science|museum|weather|recipes|city council|school|history|garden|travel notes|local news|open source|research lab|poetry|health service|public radio|math lessons|language course|birds|mountain club|film review|book club|music archive|daily paper|rail timetable|theory|nature|chemistry|painting|football|bread and butter|hospital|village|river|station".split("|")
-#: Meaningless names are no reason to block.
-_SYLLABLES = "ther on in st al mar en re ti an or".split()
-_PATHS = ("/", "/en/123", "/de/45.html", "/fr/678/", "/es/91", "/index.html", "/articles/2020/05/title")
-
-
-def builtin_labelled() -> list[tuple[str, int]]:
-    """A small labelled table: 1 for hosts that are to be blocked."""
-    out = []
-    made_up = [a + b + c for a in _SYLLABLES[:6] for b in _SYLLABLES[3:9] for c in ("", *_SYLLABLES[8:11])]
-    for label, names in ((1, _BAD), (0, _GOOD), (0, made_up)):
-        for k, name in enumerate(names):
-            for j, sep in enumerate(("-", "", ".")):
-                host = ("www.", "", "m.", "blog.")[(k + j) % 4] + name.replace(" ", sep) + (".example.com", ".org", ".example.net")[(k + 2 * j) % 3]
-                out += [("http://" + host + _PATHS[(k + j + i) % len(_PATHS)], label) for i in range(2)]
-    return out + [("", 0)] * (len(out) // 4)  # without evidence: allow
-
-
 def _host_path(url: str) -> tuple[str, str]:
     _, found, rest = url.partition("://")
     host = rest[: min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))]
@@ -60,7 +43,7 @@ def fit(labelled: tuple[tuple[str, int], ...]) -> tuple[np.ndarray, float]:
     b = Block(["".join(_host_path(u)).encode() for u, _ in labelled])
     r, f, v = sparse(*gram_rows(b, ORDERS, BITS), b.n, 1 << BITS)
     y = np.array([k for _, k in labelled])
-    w, bias = fit_linear(r, f, v, y, 1 << BITS, l2=1e-5, steps=600)
+    w, bias = fit_linear(r, f, v, y, 1 << BITS, l2=1e-6, steps=600)
     return w.astype(np.float32), bias
 
 
@@ -77,7 +60,7 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
 def with_rules(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Adds the longest fitting ``rule`` and its verdict as ``ruled``; needs ``host`` and ``path``."""
     if len(rules) > MAX_LISTED_RULES:
-        raise ValueError(f"more than {MAX_LISTED_RULES} rules: use rules_table")
+        raise ValueError(f"more than {MAX_LISTED_RULES} rules: give them as a DataFrame")
     rule = verdict = None
     for v, r in sorted(rules, key=lambda x: (-len(x[1]), x[0] != "block", x[1])):
         h, p = r[: r.index("/")], r[r.index("/") :]
@@ -87,23 +70,23 @@ def with_rules(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return df.withColumns({"rule": none if rule is None else rule, "ruled": none if verdict is None else verdict})
 
 
-def with_rules_table(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """As :func:`with_rules`, with rules of any number as a table (verdict, rule); ``key`` is unique in ``df``.
+def with_rules_table(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """As :func:`with_rules`, with rules of any number as a table (verdict, rule).
 
-    Each host is exploded to its suffixes, which join the rules' hosts by equality.
+    Each distinct host and path is exploded to the host's suffixes, which join the rules' hosts by equality.
     """
     r = rules.select("verdict", "rule", F.substring_index("rule", "/", 1).alias("_h"), F.expr("substr(rule, instr(rule, '/'))").alias("_p"))
     parts = F.split("host", r"\.", -1)
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws(".", F.slice(parts, k, F.size(parts))))
-    hit = df.select(key, "path", F.explode(tails).alias("_h")).join(r, "_h").where(F.startswith("path", F.col("_p")))
-    best = hit.groupBy(key).agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), F.col("rule"), F.col("verdict"))).alias("_m"))
-    return df.join(best, key, "left").withColumns({"rule": F.col("_m.rule"), "ruled": F.col("_m.verdict")}).drop("_m")
+    hit = df.select("host", "path").distinct().select("host", "path", F.explode(tails).alias("_h")).join(r, "_h").where(F.startswith("path", F.col("_p")))
+    best = hit.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), (F.col("verdict") != "block").alias("b"), F.col("rule"), F.col("verdict"))).alias("_m"))
+    return df.join(best, ["host", "path"], "left").withColumns({"rule": F.col("_m.rule"), "ruled": F.col("_m.verdict")}).drop("_m")
 
 
-def url_filter(df: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]] | None = None, page_id: str = "page_id", url: str = "url", threshold: float = 0.5) -> DataFrame:
+def url_filter(df: DataFrame, rules: list[tuple[str, str]] | DataFrame, labelled: list[tuple[str, int]] | None = None, page_id: str = "page_id", url: str = "url", threshold: float = 0.5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict (allow or block), score (probability of block by the model).
 
-    ``rules``: (verdict, rule) pairs; ``labelled``: (url, 1 to block) rows for the model.
+    ``rules``: (verdict, rule) pairs, or a table of these columns; ``labelled``: (url, 1 to block) rows for the model.
     """
     ship(df.sparkSession)
     weights, bias = fit(tuple(labelled if labelled is not None else builtin_labelled()))
@@ -121,7 +104,7 @@ def url_filter(df: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sigmoid(s))], [*part.schema.names[:-1], "score"])
 
     base = url_parts(df.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url")), "_url")
-    base = with_rules(base, rules).select("page_id", "host", "path", "rule", "ruled", F.concat("host", "path").alias("_t"))
+    base = (with_rules_table if isinstance(rules, DataFrame) else with_rules)(base, rules).select("page_id", "host", "path", "rule", "ruled", F.concat("host", "path").alias("_t"))
     kind = dict(base.dtypes)["page_id"]
     out = base.mapInArrow(score, f"page_id {kind}, host string, path string, rule string, ruled string, score double")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")

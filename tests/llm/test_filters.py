@@ -7,7 +7,7 @@ import pytest
 
 from millrace.llm.quality_rules import CLASSES, ORDER, KneserNey, quality_rules
 from millrace.llm.queries import RULES
-from millrace.llm.url_filter import url_filter, url_parts, with_rules_table
+from millrace.llm.url_filter import url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,9 +43,36 @@ def test_urls_against_brute_force(spark):
 
 
 def test_rules_as_table(spark):
-    df = url_parts(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string"))
-    rules = spark.createDataFrame(RULES, "verdict string, rule string")
-    assert {r.page_id: r.rule for r in with_rules_table(df, rules, "page_id").collect()} == {i: rule_of(*host_path(u))[0] for i, u in enumerate(URLS)}
+    df = spark.createDataFrame(list(enumerate(URLS)) + [(0, None)], "page_id long, url string")
+    ties = [("allow", "b.net/x/"), ("block", "net/xyz/"), ("allow", "a.org/p"), ("allow", "org/p/q")]
+    df = df.union(spark.createDataFrame([(90, "http://b.net/xyz/x/"), (91, "http://a.org/p/q")], df.schema))
+    for listed in (RULES, RULES + ties):
+        table = spark.createDataFrame(listed, "verdict string, rule string")
+        got = [collections.Counter((r.page_id, r.rule, r.verdict) for r in url_filter(df, rules).collect()) for rules in (listed, table)]
+        assert got[0] == got[1]
+    assert {r.page_id: r.rule for r in url_filter(df, spark.createDataFrame(RULES, "verdict string, rule string")).collect()} == {i: rule_of(*host_path(u))[0] for i, u in [*enumerate(URLS), (90, "http://b.net/xyz/x/"), (91, "http://a.org/p/q")]}
+
+
+UNSEEN_BAD = """grand-vegas-poker.net slots-of-luck.com casinoroyal88.biz bingobets.org viagra4less.net pharmacy-pills-direct.com xxx-tube-videos.net nude-webcams.com porno-hd-free.net sexdating-tonight.com
+paydayloans24.com fastcash-online-loans.net bitcoin-giveaway-doubler.com replica-rolex-cheap.net free-iphone-winner.com keygen-crack-serial.net warez-torrent-download.com login-verify-account.net backlinks-seo-cheap.com ads-popunder-click.net
+spam-link-directory.com malware-trojan-download.net betting-casino-tips.com cheap-cialis-online.net adult-xxx-movies.com""".split()
+UNSEEN_GOOD = """history.harvard.edu stadtmuseum-koeln.de oak-tree-nursery.com parish-newsletter.org physics-society.org railway-museum.co.uk mountain-rescue.org seminar-notes.edu harbour-weather.net chess-magazine.com
+journal-of-medicine.org bibliotheque-municipale.fr escuela-primaria.mx trail-running.net orchestra-hall.com beekeeping.org city-theatre.de lighthouse-trust.org veterinary-clinic.com river-fishing.net
+kubernetes-docs.io linguistics-lab.edu bavarian-recipes.de climate-report.org daily-courier.com""".split()
+
+
+def test_unseen_hosts(spark):
+    """Precision and recall on names that neither the table nor ``pages`` has; the table has no name of ``pages``."""
+    from millrace.llm.url_table import names
+
+    stem = lambda host: max([x for x in host.split(".")[:-1] if x not in ("www", "example")] or [host], key=len)
+    known = {stem(h) for h, _ in names()}
+    pages = {stem(host_path(r.url)[0]) for sf in ("0.001", "0.01", "0.1") for r in spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet").select("url").collect()}
+    assert not known & {stem(h) for h in UNSEEN_BAD + UNSEEN_GOOD} and not known & pages
+    df = spark.createDataFrame([(i, f"https://{h}/") for i, h in enumerate(UNSEEN_BAD + UNSEEN_GOOD)], "page_id long, url string")
+    blocked = {r.page_id for r in url_filter(df, []).collect() if r.verdict == "block"}
+    right = sum(i < len(UNSEEN_BAD) for i in blocked)
+    assert right >= 0.7 * len(UNSEEN_BAD) and right >= 0.9 * len(blocked)
 
 
 def base(t):
