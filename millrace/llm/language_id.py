@@ -6,7 +6,9 @@ One linear SVM for each family against the rest picks a family; linear SVMs
 between each two of its languages then vote.
 
 The models are fitted in the driver on a sample: at most ``per_lang`` texts of
-each language and ``max_rows`` in all, chosen by a hash of the id.
+each language and ``max_rows`` in all, chosen by a hash of the id. Their vectors
+are made where the texts are, so that the driver holds ``max_rows`` rows of
+2 ** BITS numbers (256 MB) however long the texts and however many the languages.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0,
 as is every text if nothing could be learned. Null languages aren't learned
@@ -71,12 +73,11 @@ _ASCII_LETTERS = [bytes([c]) for c in b"etaonisrhldcumfpgwybvkxjqzETAONISRHLDCUM
 class Model:
     """SVM weights: one column for each family, then one for each pair of languages of a family."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], families: dict[str, str]):
+    def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, str]):
         self.langs = sorted(set(langs))
         fam = {c: family_of(c, families) for c in self.langs}
         self.families = sorted(set(fam.values()))
         self.members = [[i for i, c in enumerate(self.langs) if fam[c] == f] for f in self.families]
-        x = np.concatenate([features(Block(texts[a : a + 500])) for a in range(0, len(texts), 500)]) if texts else np.empty((0, 1 << BITS), np.float32)
         lang = np.array([self.langs.index(c) for c in langs], np.int64)
         family = np.array([self.families.index(fam[c]) for c in langs], np.int64)
         w, b = [], []
@@ -84,7 +85,8 @@ class Model:
             self._add(w, b, x, np.where(family == k, 1, -1), len(self.families) > 1)
         self.pairs = [[(i, j) for n, i in enumerate(m) for j in m[n + 1 :]] for m in self.members]
         for i, j in [p for ps in self.pairs for p in ps]:
-            self._add(w, b, x, np.where(lang == i, 1, np.where(lang == j, -1, 0)), True)
+            mine = np.flatnonzero((lang == i) | (lang == j))
+            self._add(w, b, x[mine], np.where(lang[mine] == i, 1, -1), True)
         self.w = np.stack(w, 1).astype(np.float32) if w else np.empty((1 << BITS, 0), np.float32)
         self.b = np.array(b)
 
@@ -126,26 +128,39 @@ class Model:
         return lang, score
 
 
-def train(df: DataFrame, per_lang: int = 1000, max_rows: int = 20_000, families: dict[str, str] | None = None) -> Model:
+def train(df: DataFrame, per_lang: int = 1000, max_rows: int = 8_192, families: dict[str, str] | None = None) -> Model:
     """Fits on (doc_id, text, lang) rows that may be learned from."""
     rows = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows // 2).collect()}
     each = min(per_lang, max_rows // max(1, len(counts)))
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30))
-    share = df.sparkSession.createDataFrame([(k, int(min(1.0, each / n) * (1 << 30))) for k, n in counts.items()], "lang string, share long")
-    got = rows.join(F.broadcast(share), "lang").where(h < F.col("share")).select(h.alias("h"), "lang", "text").toArrow()  # about `each` a language
+    share = df.sparkSession.createDataFrame([(k, int(min(1.0, 1.2 * each / n) * (1 << 30))) for k, n in counts.items()], "lang string, share long")
+
+    def vectors(batches):
+        for batch in batches:
+            for part, b in blocks(batch, max_bytes=1 << 20):
+                ok = np.array([has_letter(x) for x in part.column(2).cast(pa.large_binary()).to_pylist()])
+                rows = features(b)[ok]
+                at = [np.flatnonzero(r) for r in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok)), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([r[a].astype(np.float16).tobytes() for r, a in zip(rows, at)], pa.binary())], ["h", "lang", "at", "value"])
+
+    # about `each` rows a language
+    got = rows.join(F.broadcast(share), "lang").where(h < F.col("share")).select(h.alias("h"), "lang", "text").mapInArrow(vectors, "h long, lang string, at binary, value binary").toArrow()
     order = np.argsort(got["h"].to_numpy(), kind="stable")
-    langs, texts = got["lang"].to_pylist(), got["text"].cast(pa.large_binary()).to_pylist()
+    langs = got["lang"].to_pylist()
     taken: dict[str, int] = {}
     use = []
     for i in order.tolist():
-        if taken.get(langs[i], 0) < each and has_letter(texts[i]):
+        if taken.get(langs[i], 0) < each:
             taken[langs[i]] = taken.get(langs[i], 0) + 1
             use.append(i)
-    return Model([texts[i] for i in use], [langs[i] for i in use], FAMILY if families is None else families)
+    x = np.zeros((len(use), 1 << BITS), np.float32)
+    for r, i in enumerate(use):
+        x[r, np.frombuffer(got["at"][i].as_py(), np.uint16)] = np.frombuffer(got["value"][i].as_py(), np.float16)
+    return Model(x, [langs[i] for i in use], FAMILY if families is None else families)
 
 
-def language_id(df: DataFrame, held_out: F.Column | None = None, per_lang: int = 1000, max_rows: int = 20_000, families: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def language_id(df: DataFrame, held_out: F.Column | None = None, per_lang: int = 1000, max_rows: int = 8_192, families: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     ``held_out``: a boolean column, rows that aren't learned from; by default crc32 of the id's text mod 3 = 1.
