@@ -6,6 +6,7 @@ unset isn't among the keys; others go through the exact join. With more keys few
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +21,23 @@ def _bit(h: Column) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
 
 
-def sieve(keys: DataFrame, h: Column) -> DataFrame:
-    """One row with the bits of the keys' hashes ``h`` (long)."""
-    bits = [0] * WORDS
+def sieve_bits(keys: DataFrame, h: Column) -> np.ndarray:
+    """The bits of the keys' hashes ``h`` (long)."""
+    bits = np.zeros(WORDS, np.int64)
     got = keys.select(_word(h).alias("w"), _bit(h).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
-    for w, v in zip(got["w"].to_pylist(), got["v"].to_pylist()):
-        bits[w] = v
-    return F.broadcast(keys.sparkSession.createDataFrame([(bits,)], "__mr_bits array<long>"))
+    bits[got["w"].to_numpy()] = got["v"].to_numpy()
+    return bits
+
+
+def in_sieve(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes (unsigned) may be among the keys."""
+    word = bits.view(np.uint64)[(h & np.uint64(WORDS - 1)).astype(np.int64)]
+    return (word >> ((h >> np.uint64(32)) & np.uint64(63))) & np.uint64(1) > 0
+
+
+def sieve(keys: DataFrame, h: Column) -> DataFrame:
+    """One row with the bits of the keys' hashes."""
+    return F.broadcast(keys.sparkSession.createDataFrame([(sieve_bits(keys, h).tolist(),)], "__mr_bits array<long>"))
 
 
 def split(df: DataFrame, bits: DataFrame, h: Column) -> tuple[DataFrame, DataFrame]:
