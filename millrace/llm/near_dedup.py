@@ -13,7 +13,8 @@ Texts with equal sets are one class (found by digest, counted before anything
 is shuffled); only a class's smallest id goes on. In each key's group, all are
 first compared with the smallest id alone. Only where that leaves a group in
 several components are texts of different components compared by their
-registers, in blocks; pairs inside a component are never made.
+registers, a block against a block in each task, so that a task's memory is
+bounded; pairs inside a component are never made.
 
 Defined results: a null text, or one without words, has no shingles and is its
 own component; a row without an id is compared with nothing, has no component
@@ -172,15 +173,15 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _cross_pairs(ids, comp, band: int, regs: np.ndarray, n: np.ndarray, home: np.ndarray, least: float) -> tuple[list, list]:
-    """Likely pairs of different components in one group."""
+def _cross_pairs(ids, comp, band: int, regs: np.ndarray, n: np.ndarray, side: np.ndarray, least: float) -> tuple[list, list]:
+    """Likely pairs of different components and of different sides (side 2: all of them) in one pair of blocks."""
     a, b = [], []
     step = max(1, (8 << 20) // regs.size)
     bands = regs.shape[1] // ROWS
     for p in range(0, len(ids), step):  # some rows against all after them
         same = regs[p : p + step, None, :] == regs[None, p:, :]
         near = same.sum(2) >= (least - 0.05) * regs.shape[1]
-        near &= (comp[p : p + step, None] != comp[None, p:]) & (home[p : p + step, None] | home[None, p:])
+        near &= (comp[p : p + step, None] != comp[None, p:]) & ((side[p : p + step, None] != side[None, p:]) | (side[None, p:] == 2))
         i, j = np.nonzero(np.triu(near, 1))
         # a pair belongs to the first band that both are equal in
         mine = same[i, j, : ROWS * bands].reshape(len(i), bands, ROWS).all(2).argmax(1) == band
@@ -194,7 +195,7 @@ def _cross_pairs(ids, comp, band: int, regs: np.ndarray, n: np.ndarray, home: np
 
 
 def _across(groups: DataFrame, least: float) -> DataFrame:
-    """Likely (a, b) pairs of different components in a key's group; rows: key, band, block, doc_id, comp, sketch, n_shingles, home."""
+    """Likely (a, b) pairs of different components in a key's group; rows: key, band, block, doc_id, comp, sketch, n_shingles, side."""
     kind = dict(groups.dtypes)["doc_id"]
 
     def run(batches):
@@ -215,11 +216,11 @@ def _across(groups: DataFrame, least: float) -> DataFrame:
         key, block = t["key"].to_numpy(), t["block"].to_numpy()
         cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(key)]
         end = len(cut) - 1 if last else len(cut) - 2
-        ids, comp, n, home, band = np.array(t["doc_id"].to_pylist(), object), t["comp"].to_numpy(), t["n_shingles"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), t["band"].to_numpy()
+        ids, comp, n, side, band = np.array(t["doc_id"].to_pylist(), object), np.unique(np.array(t["comp"].to_pylist(), object), return_inverse=True)[1], t["n_shingles"].to_numpy(), t["side"].to_numpy(), t["band"].to_numpy()
         regs = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
         a, b = [], []
         for p, q in zip(cut[:end], cut[1 : end + 1]):
-            x, y = _cross_pairs(ids[p:q], comp[p:q], int(band[p]), regs[p:q], n[p:q], home[p:q], least)
+            x, y = _cross_pairs(ids[p:q], comp[p:q], int(band[p]), regs[p:q], n[p:q], side[p:q], least)
             a += x
             b += y
         out = [pa.RecordBatch.from_arrays([pa.array(a, typ), pa.array(b, typ)], ["a", "b"])]
@@ -229,10 +230,11 @@ def _across(groups: DataFrame, least: float) -> DataFrame:
 
 
 def near_dedup(df: DataFrame, num: int = 70, den: int = 100, size: int = 5, margin: float = 0.17, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest id with an equal set), links (confirmed of its class).
+    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest id with an equal set), links_confirmed.
 
     Documents are linked if den * intersection >= num * union of their sets of ``size``-word shingles; components
-    are named by their smallest id.
+    are named by their smallest id. ``links_confirmed``: how many links of its class were confirmed to find the components; links
+    between classes that are in one component anyway aren't all looked for, so a class may have more.
     """
     ship(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -254,26 +256,34 @@ def near_dedup(df: DataFrame, num: int = 70, den: int = 100, size: int = 5, marg
     # groups that are in several components still: compare across these
     label = lambda c, to: comp.select(F.col("node").alias(c), F.col("component").alias(to))
     named = groups.join(label("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = named.join(label("first", "comp1"), "first", "left").where(F.col("comp") != F.coalesce("comp1", "first"))
-    mixed = mixed.groupBy("key").agg(F.max("n").alias("n_group"))
+    named = named.join(label("first", "comp1"), "first", "left").withColumn("main", F.col("comp") == F.coalesce("comp1", "first"))
+    mixed = named.groupBy("key").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_other")).where("n_other > 0")
     rest = named.join(mixed, "key").join(reps.select("doc_id", "sketch", "n_shingles"), "doc_id")
-    n_blocks = F.ceil(F.col("n_group") / GROUP_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int")
-    main = F.coalesce(F.col("comp1"), F.col("first"))
-    rest = rest.join(label("first", "comp1"), "first", "left").withColumn("own", own)
-    # texts of the first member's component are in one block each, all others in every block
-    rest = rest.withColumn("block", F.explode(F.when(F.col("comp") == main, F.array("own")).otherwise(F.sequence(F.lit(0), n_blocks - 1)))).withColumn("home", F.col("own") == F.col("block"))
-    more, p3 = table(_across(rest.select("key", "band", "block", "doc_id", "comp", "sketch", "n_shingles", "home"), least), "across")
+    # blocks of the first member's component against blocks of the others, and blocks of others against each other
+    n_main, n_other = (F.greatest(F.ceil(F.col(c) / GROUP_BLOCK), F.lit(1)).cast("int") for c in ("n_main", "n_other"))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("main"), n_main).otherwise(n_other)).cast("int")
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    rest = rest.withColumns({"own": own, "nm": n_main, "no": n_other})
+    me, zero, one = F.col("own"), F.lit(0), F.lit(1)
+    with_main = F.transform(upto(F.col("nm")), lambda i: cell(0, i, me, one))
+    others = F.transform(upto(F.col("no")), lambda j: cell(1, F.least(me, j), F.greatest(me, j), F.when(me == j, 2).when(me < j, 0).otherwise(1)))
+    cells = F.when(F.col("main"), F.transform(upto(F.col("no")), lambda j: cell(0, me, j, zero))).otherwise(F.concat(with_main, others))
+    rest = rest.withColumn("cell", F.explode(cells)).select("key", "band", F.struct("cell.kind", "cell.i", "cell.j").alias("at"), "doc_id", "comp", "sketch", "n_shingles", F.col("cell.side").alias("side"))
+    rest = rest.withColumn("block", (F.col("at.kind").cast("long") * (1 << 60)) + F.col("at.i").cast("long") * (1 << 30) + F.col("at.j"))
+    more, p3 = table(_across(rest.select("key", "band", "block", "doc_id", "comp", "sketch", "n_shingles", "side"), least), "across")
     more = more.join(likely, ["a", "b"], "left_anti")
     links2, p4 = table(_confirm(more, docs, size, num, den), "links")
     links = links.unionByName(links2)
     if not links2.isEmpty():
         comp = connected_components(links, "a", "b", cut)
 
-    n_links = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    for p in (p_groups, p1, p3):
+        drop_table(df.sparkSession, p)
+    n_links = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links_confirmed"))
     copies = classes.where("n > 1").select("d1", "d2", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = all_.drop("sketch", "keys").withColumn("salt", salt("doc_id")).join(copies, ["d1", "d2", "salt"], "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
     out = out.join(label("class_id", "component_id"), "class_id", "left").join(n_links, "class_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "class_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id", F.coalesce("links_confirmed", F.lit(0).cast("long")).alias("links_confirmed"))

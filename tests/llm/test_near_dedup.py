@@ -77,3 +77,32 @@ def test_estimate_is_close():
         assert abs(N.estimate(x, y, np.array([1000]), np.array([1000]))[0] - share) < 0.2
     merged = np.maximum(N.registers(N.sketch(a)), N.registers(N.sketch(b)))
     assert (merged == N.registers(N.sketch(np.concatenate([a, b])))).all()
+
+
+def test_blocks_of_a_group(spark, monkeypatch):
+    """Groups that are split into many pairs of blocks give the same result."""
+    monkeypatch.setattr(N, "GROUP_BLOCK", 2)
+    rows = corpus(25)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_dedup(df).collect()} == brute(rows)
+
+
+def test_many_unlike_texts_share_a_key(spark):
+    """6,000 texts with one band in common and else unlike, but for two pairs: all blocks are compared, in bounded time."""
+    import time
+
+    rng = np.random.default_rng(4)
+    n = 6000
+    regs = rng.integers(0, 60_000, (n, N.REGISTERS)).astype(np.uint16)
+    regs[:, :3] = 7
+    regs[5000], regs[17] = regs[1], regs[3]
+    block = rng.integers(0, 2, n)
+    rows = []
+    for k in range(n):
+        b = int(block[k])
+        for at, side in ((b, 2), (2, b)):  # its own block, and the two blocks against each other
+            rows.append((1, 0, at, k, k, regs[k].tobytes(), 300, side))
+    df = spark.createDataFrame(rows, "key long, band int, block long, doc_id long, comp long, sketch binary, n_shingles long, side int")
+    began = time.time()
+    assert {(r.a, r.b) for r in N._across(df, 0.53).collect()} == {(1, 5000), (3, 17)}
+    assert time.time() - began < 120
