@@ -4,7 +4,10 @@ Texts are cut before each run of spaces that follows another character; no
 piece crosses such a cut (checked on the model, else ValueError), so distinct
 words are encoded once for each block. A round finds in flat symbol arrays the
 best-ranked pair of every word (a segmented minimum), merges its occurrences
-from the left, and compacts; it ends when no pair is left.
+from the left, and compacts; it ends when no pair is left. A round's cost is the
+symbols of the words that go on, so a very long word would cost its square:
+words of more than ``LONG_WORD`` characters take the same merges in the same
+order (best rank, then leftmost) from a heap, in n log n.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to
 the empty text. Rows are encoded one by one, whatever their length; extra
@@ -14,6 +17,7 @@ columns are ignored and ties, repeated rows and empty tables need no care.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from functools import lru_cache
 
@@ -28,6 +32,8 @@ from ..session import ship
 CACHE_WORDS = 120_000
 #: Words that a round of merges handles together, so that its arrays stay in the processor's cache.
 ROUND_WORDS = 16384
+#: Longer words (in characters) are merged by a heap.
+LONG_WORD = 256
 _NONE = np.iinfo(np.int32).max
 _WORD = re.compile("▁*[^▁]*")
 
@@ -82,6 +88,7 @@ class PieceModel:
         self.of_char = np.full(0x110000, self.width - 1, np.int32)
         for c, i in (self.char_id | self.extra).items():
             self.of_char[ord(c)] = i
+        self.table: dict[int, tuple[int, int]] | None = None  # pair to rank and piece, made where needed
         self.strings = [str(i) for i in range(self.size)]
         self._build_slots()
 
@@ -120,6 +127,41 @@ class PieceModel:
     def _extra(self, c: str) -> int:
         return self.extra.setdefault(c, self.size + len(self.extra))
 
+    def merge_long(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols of one long word, and each one's first character."""
+        if self.table is None:
+            self.table = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.to.tolist())))
+        table, width, n = self.table, self.width, len(sym)
+        first = self._find(sym[:-1].astype(np.int64) * width + sym[1:])
+        some = np.flatnonzero(first < len(self.key))
+        heap = ((self.rank1[first[some]].astype(np.int64) << 32) | some).tolist()
+        heapq.heapify(heap)
+        s, after, before = sym.tolist(), [*range(1, n), -1], [*range(-1, n - 1)]
+        while heap:
+            x = heapq.heappop(heap)
+            p, rank = x & 0xFFFFFFFF, x >> 32
+            q = after[p]
+            if s[p] < 0 or q < 0:
+                continue
+            m = table.get(s[p] * width + s[q])
+            if m is None or m[0] != rank:  # one of the two has changed since
+                continue
+            s[p], s[q] = m[1], -1
+            r = after[p] = after[q]
+            if r >= 0:
+                before[r] = p
+                m = table.get(s[p] * width + s[r])
+                if m is not None:
+                    heapq.heappush(heap, m[0] << 32 | p)
+            o = before[p]
+            if o >= 0:
+                m = table.get(s[o] * width + s[p])
+                if m is not None:
+                    heapq.heappush(heap, m[0] << 32 | o)
+        out = np.array(s, np.int32)
+        at = np.flatnonzero(out >= 0)
+        return out[at], at
+
     def encode_words(self, words: list[str]) -> tuple[list[int], list[int]]:
         """Piece ids of all words (spaces are U+2581) and where each word's begin, with the end."""
         chars = "".join(words)
@@ -130,6 +172,14 @@ class PieceModel:
         at = np.arange(len(code), dtype=np.int32)  # each symbol's first character
         found, owner = np.full(len(code), -1, np.int32), word  # each final symbol at its first character
         none = np.int32(_NONE)
+        if len(size) and size.max() > LONG_WORD:
+            stop = np.cumsum(size)
+            for i in np.flatnonzero(size > LONG_WORD).tolist():
+                a = int(stop[i] - size[i])
+                got, where = self.merge_long(sym[a : stop[i]])
+                found[a + where] = got
+            short = np.repeat(size <= LONG_WORD, size)
+            sym, word, at = sym[short], word[short], at[short]
         while len(sym) > 1:
             same = word[1:] == word[:-1]
             k = self._find(np.where(same, sym[:-1].astype(np.int64) * self.width + sym[1:], -1))

@@ -115,3 +115,20 @@ def test_pieces_like_the_library(spark):
         want = sp.encode(t or "")
         assert x.ids == want and x.n_tokens == len(want) and x.decoded_sha256 == hashlib.sha256(sp.decode(want).encode()).hexdigest()
     assert piece_bpe(df.limit(0), path).count() == 0
+
+
+def test_long_words_like_the_library():
+    import time
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(2)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters in ("a", "ab", "etaoinshrdlu", "éa中=", "0123456789abcdef") for n in (255, 256, 257, 300, 3000)]
+    for t, (ids, back) in zip(texts, encode_texts(load(path), [t.encode() for t in texts], Cache())):
+        want = sp.encode(t)
+        assert ids == ",".join(map(str, want)) and back == sp.decode(want).encode()
+    t = "".join(r.choice("etaoinshrdlu") for _ in range(1_000_000))
+    began = time.time()
+    ((ids, _),) = encode_texts(load(path), [t.encode()], Cache())
+    assert time.time() - began < 120 and ids.count(",") > 100_000
