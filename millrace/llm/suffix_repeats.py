@@ -9,13 +9,14 @@ first: of each window of ``length`` bytes the leftmost least hash of its
 places, so all occurrences of a repeated window meet at one anchor, and windows
 without a repeated anchor need no look at all. For each anchor that occurs
 twice or more, the bytes around its occurrences go to the task that its hash
-names. There, the suffixes that start at anchors are sorted (with the lengths
-of the prefixes that neighbours share: an enhanced suffix array), and so are
-the reversed texts before them. A scan of the shared lengths cuts the interval
-tree of either at each depth: suffixes in one interval of depth t and one
-left-extension class of depth length - t have a repeated window, and every
-occurrence is marked, not just neighbours. Bytes are compared, hashes only
-route.
+names. There, the suffixes that start at anchors are sorted, with the lengths of
+the prefixes that neighbours share: an enhanced suffix array. A stack scan of
+the shared lengths gives the common-prefix interval tree. An interval of depth t
+holds all suffixes with t bytes in common; the bytes before them, sorted the
+same way, tell how diverse its left extensions are: occurrences that share o
+bytes to the left, and where o + t is ``length`` or more, are a repeat, maximal
+where its occurrences differ on both sides. All occurrences are marked, not just
+neighbours; with ``groups`` the maximal repeats come out with all of them.
 
 Distinct hashes and contexts are put together for each chunk of texts before
 they are shuffled, so copies and passages that many texts share cost one entry
@@ -87,47 +88,116 @@ def shared_prefix(m: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], n])
 
 
-def suffix_array(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows (padded suffixes) and the prefixes shared by neighbours."""
-    order = np.argsort(np.ascontiguousarray(m).view(f"S{m.shape[1]}").ravel())
-    return order, shared_prefix(m[order])
+def suffix_array(m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows (strings of ``n`` bytes, padded with zeros) and the prefixes that neighbours share."""
+    rows = np.concatenate([m, n[:, None].astype(np.uint8)], axis=1)  # of equal padded rows the shorter comes first
+    order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel())
+    shared = shared_prefix(m[order])
+    shared[1:] = np.minimum(shared[1:], np.minimum(n[order[1:]], n[order[:-1]]))
+    return order, shared
 
 
-def repeat_groups(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the bytes before and after its anchor's start that repeated windows cover (0, 0: none).
+def intervals(shared: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The common-prefix interval tree's nodes of depth ``least`` (over 0) or more, by a stack scan: depth, first and last place."""
+    found: list[tuple[int, int, int]] = []
+    stack = [(0, 0)]
+    for i, x in enumerate([*np.where(shared[1:] < least, 0, shared[1:]).tolist(), 0]):
+        low = i
+        while stack[-1][0] > x:
+            depth, low = stack.pop()
+            found.append((depth, low, i))
+        if stack[-1][0] < x:
+            stack.append((x, low))
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+
+class Minima:
+    """Least value of any range of an array of bytes."""
+
+    def __init__(self, x: np.ndarray):
+        self.rows = [x.astype(np.uint8)]
+        while 2 << len(self.rows) - 1 <= len(x):
+            k, y = 1 << len(self.rows) - 1, self.rows[-1]
+            self.rows.append(np.minimum(y[:-k], y[k:]))
+
+    def between(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Minima of x[a + 1 : z + 1], for a < z."""
+        level = np.frexp((z - a).astype(np.float64))[1] - 1
+        out = np.empty(len(a), np.int64)
+        for k in np.unique(level).tolist():
+            i = np.flatnonzero(level == k)
+            out[i] = np.minimum(self.rows[k][a[i] + 1], self.rows[k][z[i] - (1 << k) + 1])
+        return out
+
+
+class Repeats:
+    """Contexts of anchors: their enhanced suffix arrays to the right and (reversed) to the left.
 
     ``left`` has the bytes before an anchor, the nearest first; ``right`` those from the anchor on; both padded with
-    zeros to fixed widths. ``weight``: occurrences of the context itself.
+    zeros to fixed widths, with ``n_left`` and ``n_right`` bytes. ``weight``: occurrences of the context itself.
     """
-    n = len(weight)
-    order_r, lcp_r = suffix_array(right)
-    order_l, lcp_l = suffix_array(left)
-    before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    node_l, node_r = np.empty(n, np.int64), np.empty(n, np.int64)
-    cuts_l = set(lcp_l.tolist())
-    cuts_r = set(lcp_r.tolist())
-    for o in range(left.shape[1] + 1):
-        t = length - o
-        if o == 0 or o - 1 in cuts_l:  # the classes of depth o differ from those of depth o - 1
-            node_l[order_l] = np.cumsum(lcp_l < o) if o else 0
-        if o == 0 or t in cuts_r:
-            node_r[order_r] = np.cumsum(lcp_r < t)
-        can = np.flatnonzero((n_left >= o) & (n_right >= t))
-        if not len(can):
-            continue
-        key = node_r[can] * (n + 1) + node_l[can]
-        by = np.argsort(key)
-        k = key[by]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        total = np.add.reduceat(weight[can][by], start)
-        hit = can[by[np.repeat(total >= 2, np.diff(np.append(start, len(k))))]]
-        before[hit] = o
-        after[hit] = np.maximum(after[hit], t)
-    return before, after
-
-
-def _spans(out: list[tuple[int, bytes, bytes]]) -> pa.Table:
-    return columns(chunk=([x[0] for x in out], pa.int64()), a=([x[1] for x in out], pa.binary()), z=([x[2] for x in out], pa.binary()))
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, weight: np.ndarray, length: int):
+        self.order, shared = suffix_array(right, n_right)
+        order_l, shared_l = suffix_array(left, n_left)
+        self.rank_l = np.empty(len(weight), np.int64)
+        self.rank_l[order_l] = np.arange(len(weight))
+        self.left, self.right = Minima(shared_l), Minima(shared)
+        self.depth, self.first, self.last = intervals(shared, max(1, length - left.shape[1]))
+        self.n_left, self.n_right, self.weight, self.length = n_left, n_right, weight, length
+
+    def members(self, most: int = 1 << 20):
+        """For some nodes at a time: node of each member, member, and the bytes that it shares to the left with the member before, in left order."""
+        size = self.last - self.first + 1
+        total = np.cumsum(size)
+        a = 0
+        while a < len(size):
+            z = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + most, "right")))
+            node = np.repeat(np.arange(a, z), size[a:z])
+            who = self.order[np.arange(len(node)) - np.repeat(np.cumsum(size[a:z]) - size[a:z], size[a:z]) + self.first[node]]
+            by = np.lexsort((self.rank_l[who], node))
+            who = who[by]
+            same = np.zeros(len(who), np.int64)
+            inner = np.flatnonzero(node[1:] == node[:-1]) + 1
+            same[inner] = self.left.between(self.rank_l[who[inner - 1]], self.rank_l[who[inner]])
+            yield node, who, same
+            a = z
+
+    def cover(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each context the bytes before and after its anchor's start that repeats cover (0, 0: none)."""
+        twice = (self.weight >= 2) & (self.n_left + self.n_right >= self.length)
+        before, after = np.where(twice, self.n_left, 0), np.where(twice, self.n_right, 0)
+        for node, who, same in self.members():
+            ext = np.maximum(same, np.append(same[1:], 0))  # its neighbours in left order share most
+            t = self.depth[node]
+            hit = np.flatnonzero(ext + t >= self.length)
+            np.maximum.at(before, who[hit], ext[hit])
+            np.maximum.at(after, who[hit], t[hit])
+        return before, after
+
+    def groups(self):
+        """Maximal repeats: (bytes before and after the anchor's start, all contexts that have it)."""
+        for c in np.flatnonzero((self.weight >= 2) & (self.n_left + self.n_right >= self.length)).tolist():
+            yield int(self.n_left[c]), int(self.n_right[c]), np.array([c])
+        rank_r = np.empty(len(self.order), np.int64)
+        rank_r[self.order] = np.arange(len(self.order))
+        for node, who, same in self.members():
+            for p, q in zip(*(np.flatnonzero(x) for x in (np.append(True, node[1:] != node[:-1]), np.append(node[1:] != node[:-1], True)))):
+                t = int(self.depth[node[p]])
+                s = same[p : q + 1]
+                nodes = zip(*(x.tolist() for x in intervals(s, max(1, self.length - t))))
+                if t >= self.length and s[1:].min() == 0:  # the whole interval, if its left extensions differ at once
+                    nodes = [*nodes, (0, 0, q - p)]
+                for o, a, z in nodes:
+                    some = who[p + a : p + z + 1]
+                    r = rank_r[some]
+                    if int(self.right.between(np.array([r.min()]), np.array([r.max()]))[0]) == t:  # else a deeper interval has it
+                        yield o, t, some
+
+
+def _spans(out: list[tuple[int, bytes, bytes, bytes]]) -> pa.Table:
+    """Chunks with starts, ends and groups (or none) of repeats in them."""
+    return columns(chunk=([x[0] for x in out], pa.int64()), **{k: ([x[1 + i] for x in out], pa.binary()) for i, k in enumerate("azg")})
 
 
 def _windows(buf, start, end, place, length: int, seed: int, nb: int) -> list[tuple]:
@@ -147,28 +217,35 @@ def _windows(buf, start, end, place, length: int, seed: int, nb: int) -> list[tu
     return out
 
 
-def _count_windows(rows: list[dict], length: int) -> pa.Table:
+def _count_windows(rows: list[dict], length: int, groups: bool) -> pa.Table:
     seen = [np.frombuffer(r["context"], U64).reshape(-1, 2) for r in rows]
     inv = [unpack(r["rows"], np.int32) for r in rows]
-    _, of = np.unique(np.concatenate(seen), axis=0, return_inverse=True)
+    all_ = np.concatenate(seen)
+    _, of = np.unique(all_, axis=0, return_inverse=True)
     of = of.ravel()
     total = np.bincount(of, np.concatenate([np.bincount(v, minlength=len(s)) for v, s in zip(inv, seen)]))[of]
     out = []
     for r, v, a in zip(rows, inv, np.cumsum([0, *map(len, seen)])):
-        at = unpack(r["place"], np.int32)[total[a + v] >= 2]
+        hit = total[a + v] >= 2
+        at = unpack(r["place"], np.int32)[hit]
         if len(at):
-            out.append((r["chunk"], pack(at), pack(at + np.int32(length))))
+            out.append((r["chunk"], pack(at), pack(at + np.int32(length)), pack(all_[(a + v)[hit], 0]) if groups else b""))
     return _spans(out)
 
 
-def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: str = "doc_id", text: str = "text", spans: bool = False, buckets: int | None = None, hot: int = 4096) -> DataFrame:
+def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: str = "doc_id", text: str = "text", spans: bool = False, groups: bool = False, buckets: int | None = None, hot: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``spans`` also kept (binary) and removed (array of start, end).
 
-    ``buckets``: tasks' shares of the anchors; four times spark.sql.shuffle.partitions if None.
+    With ``groups`` instead one row per occurrence of a maximal repeat: group (long), doc_id, start, end (bytes). Repeats
+    are seen from their anchors: from length - ``seed`` bytes before to ``length`` bytes after one; a longer repeat is
+    several groups, which overlap, and those of ``hot`` anchors are windows of ``length`` bytes.
+    ``buckets``: shares of the anchors; as many as chunks of texts if None. ``length`` is at most 255.
     """
+    if not 0 < seed < length <= 255:
+        raise ValueError("0 < seed < length <= 255")
     spark = df.sparkSession
     ship(spark)
-    nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(df.dtypes)[doc_id]
     i64, binary = pa.int64(), pa.binary()
     wide = length - seed
@@ -190,6 +267,9 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
 
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts, p1 = table(src.mapInArrow(chunks, f"chunk long, ids array<{kind}>, sizes binary, body binary, place binary, hashes binary"), "chunks", codec="uncompressed")
+    nb = buckets or max(32, parts.count())
+    # tasks' shares stay as they are, however many there are
+    spread = lambda d, key: d.repartition(nb // 4, key) if nb // 4 > usual else d
 
     def ask(batches):
         for batch in batches:
@@ -209,7 +289,7 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
         return columns(chunk=([r[0] for r in rows], i64), hashes=([r[1] for r in rows], binary), crowd=([r[2] for r in rows], binary))
 
     asked = parts.select("chunk", "hashes").mapInArrow(ask, "bucket int, chunk long, hashes binary, n binary")
-    told = asked.groupBy("bucket").applyInArrow(answer, "chunk long, hashes binary, crowd binary")
+    told = spread(asked, "bucket").groupBy("bucket").applyInArrow(answer, "chunk long, hashes binary, crowd binary")
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         none = dict(bucket=([], pa.int32()), chunk=([], i64), place=([], binary), context=([], binary), rows=([], binary), sizes=([], binary))
@@ -246,25 +326,39 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
     def match(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         if rows[0]["bucket"] >= nb:
-            return _count_windows(rows, length)
+            return _count_windows(rows, length, groups)
         ctx = np.concatenate([unpack(r["context"], np.uint8).reshape(-1, wide + length) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint8).reshape(-1, 2) for r in rows]).astype(np.int64)
         inv = [unpack(r["rows"], np.int32) for r in rows]
         n_ctx = [len(r["sizes"]) // 2 for r in rows]
         base = np.cumsum([0, *n_ctx])
         weight = np.concatenate([np.bincount(v, minlength=k) for v, k in zip(inv, n_ctx)])
-        before, after = repeat_groups(np.ascontiguousarray(ctx[:, :wide][:, ::-1]), np.ascontiguousarray(ctx[:, wide:]), sizes[:, 0], sizes[:, 1], weight, length)
+        made = Repeats(np.ascontiguousarray(ctx[:, :wide][:, ::-1]), np.ascontiguousarray(ctx[:, wide:]), sizes[:, 0], sizes[:, 1], weight, length)
+        at = [unpack(r["place"], np.int32) for r in rows]
         out = []
-        for r, v, a in zip(rows, inv, base):
-            place = unpack(r["place"], np.int32)
+        if groups:
+            whose = np.repeat(np.arange(len(rows)), [len(x) for x in at])
+            context, place = np.concatenate([a + v for v, a in zip(inv, base)]), np.concatenate(at)
+            by = np.argsort(context, kind="stable")
+            cut = np.searchsorted(context[by], np.arange(len(ctx) + 1))
+            all_ = [np.empty((0, 4), np.int64)]
+            for k, (o, t, some) in enumerate(made.groups()):
+                i = np.concatenate([by[cut[c] : cut[c + 1]] for c in some.tolist()])
+                all_.append(np.stack([whose[i], place[i] - o, place[i] + t, np.full(len(i), rows[0]["bucket"] << 32 | k)], 1))
+            all_ = np.concatenate(all_)
+            for j, i in split(all_[:, 0]):
+                out.append((rows[j]["chunk"], pack(all_[i, 1].astype(np.int32)), pack(all_[i, 2].astype(np.int32)), pack(all_[i, 3])))
+            return _spans(out)
+        before, after = made.cover()
+        for r, v, a, place in zip(rows, inv, base, at):
             o, t = before[a + v], after[a + v]
             hit = t > 0
             if hit.any():
-                out.append((r["chunk"], pack((place - o)[hit].astype(np.int32)), pack((place + t)[hit].astype(np.int32))))
+                out.append((r["chunk"], pack((place - o)[hit].astype(np.int32)), pack((place + t)[hit].astype(np.int32)), b""))
         return _spans(out)
 
-    near = parts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(contexts, "bucket int, chunk long, place binary, context binary, rows binary, sizes binary")
-    found, p2 = table(near.groupBy("bucket").applyInArrow(match, "chunk long, a binary, z binary"), "repeats")
+    near = spread(parts, "chunk").groupBy("chunk").cogroup(spread(told, "chunk").groupBy("chunk")).applyInArrow(contexts, "bucket int, chunk long, place binary, context binary, rows binary, sizes binary")
+    found, p2 = table(spread(near, "bucket").groupBy("bucket").applyInArrow(match, "chunk long, a binary, z binary, g binary"), "repeats")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -290,5 +384,15 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
             cols |= dict(kept=(kept, binary), removed=([[[int(p - s), int(q - s)] for p, q in zip(a[i:j], z[i:j])] for s, i, j in zip(start, first, last)], pa.list_(pa.list_(pa.int32()))))
         return columns(**cols)
 
-    out = parts.select("chunk", "ids", "sizes", "body").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<array<int>>" * spans)
-    return out
+    def occurrences(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, typ = left.to_pylist()[0], left.schema.field("ids").type.value_type
+        size = unpack(row["sizes"], np.int32).astype(np.int64)
+        start = np.cumsum(size + 1) - size
+        cols = [np.concatenate([unpack(r[c], kind) for r in right.to_pylist()] or [np.empty(0, kind)]).astype(np.int64) for c, kind in (("a", np.int32), ("z", np.int32), ("g", np.int64))]
+        doc = np.searchsorted(start, cols[0], "right") - 1
+        return columns(group=(cols[2], i64), doc_id=([row["ids"][d] for d in doc.tolist()], typ), start=(cols[0] - start[doc], i64), end=(cols[1] - start[doc], i64))
+
+    chunks_, spans_ = (spread(d, "chunk").groupBy("chunk") for d in (parts.select("chunk", "ids", "sizes", "body"), found))
+    if groups:
+        return chunks_.cogroup(spans_).applyInArrow(occurrences, f"group long, doc_id {kind}, start long, end long")
+    return chunks_.cogroup(spans_).applyInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<array<int>>" * spans)

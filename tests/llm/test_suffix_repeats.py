@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm.suffix_repeats import suffix_repeats
+from millrace.llm.suffix_repeats import Repeats, suffix_repeats
 
 
 def brute(texts, length):
@@ -53,3 +53,51 @@ def test_empty_and_repeated(spark):
     assert suffix_repeats(spark.createDataFrame([], schema)).count() == 0
     twice = spark.createDataFrame([(1, "ab " * 100), (1, "ab " * 100), (2, "short")], schema)
     assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in suffix_repeats(twice).collect()) == [(1, 300, 1), (1, 300, 1), (2, 0, 0)]
+
+
+def test_maximal_repeats_against_brute_force():
+    """Strings left|right about an anchor: a set of contexts is a maximal repeat if it is all that share o bytes before and t after, and no more bytes."""
+    r = np.random.default_rng(6)
+    for length in (5, 7):
+        ctx = {(bytes(r.integers(0, 2, r.integers(0, 4)).astype(np.uint8)), b"xyz" + bytes(r.integers(0, 2, r.integers(0, 5)).astype(np.uint8))) for _ in range(60)}
+        ctx = sorted(ctx)
+        w, n = 3, len(ctx)
+        left, right, nl, nr = np.zeros((n, w), np.uint8), np.zeros((n, 7), np.uint8), np.array([len(a) for a, _ in ctx]), np.array([len(b) for _, b in ctx])
+        for i, (a, b) in enumerate(ctx):
+            left[i, : len(a)], right[i, : len(b)] = list(a[::-1]), list(b)
+        weight = r.integers(1, 3, n)
+        rep = Repeats(left, right, nl, nr, weight, length)
+        share = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        want = {(int(nl[i]), int(nr[i]), (i,)) for i in range(n) if weight[i] > 1 and nl[i] + nr[i] >= length}
+        for i in range(n):
+            for j in range(i):
+                o, t = share(ctx[i][0][::-1], ctx[j][0][::-1]), share(ctx[i][1], ctx[j][1])
+                if o + t >= length:
+                    want.add((o, t, tuple(k for k in range(n) if share(ctx[k][0][::-1], ctx[i][0][::-1]) >= o and share(ctx[k][1], ctx[i][1]) >= t)))
+        got = [(o, t, tuple(sorted(some.tolist()))) for o, t, some in rep.groups()]
+        assert len(got) == len(set(got)) and set(got) == want
+        before, after = rep.cover()
+        for i in range(n):
+            mine = [g for g in want if i in g[2]]
+            assert (before[i], after[i]) == (max([g[0] for g in mine], default=0), max([g[1] for g in mine], default=0))
+
+
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_groups_cover_what_is_removed(spark, hot):
+    texts = corpus(5)
+    raw = [(t or "").encode() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = suffix_repeats(df, length=20, seed=10, hot=hot, groups=True).collect()
+    by = collections.defaultdict(set)
+    gone = {i: set() for i in range(len(texts))}
+    for x in rows:
+        by[x.group].add(raw[x.doc_id][x.start : x.end])
+        gone[x.doc_id] |= set(range(x.start, x.end))
+    assert all(len(v) == 1 and len(next(iter(v))) >= 20 for v in by.values())
+    assert all(n > 1 for n in collections.Counter(x.group for x in rows).values())
+    assert [len(gone[i]) for i in range(len(texts))] == [w[1] for w in brute(texts, 20)]
+
+
+def test_bounds_of_length(spark):
+    with pytest.raises(ValueError):
+        suffix_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=300)
