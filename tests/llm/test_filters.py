@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from millrace.llm.quality_rules import CLASSES, ORDER, KneserNey, quality_rules
+from millrace.llm.quality_rules import KneserNey, fit_model, quality_rules
 from millrace.llm.queries import RULES
 from millrace.llm.url_filter import url_filter
 
@@ -122,7 +122,69 @@ def test_small_languages_have_their_own_band(spark):
     assert not got[3000].kept and got[3000].lower is None
 
 
-def test_kneser_ney_sums_to_one():
-    keys, counts = np.unique(np.random.default_rng(1).integers(0, CLASSES**ORDER, 5000) % 40_000, return_counts=True)
-    p = np.exp(KneserNey(keys, counts).dense().astype(float)).reshape(-1, CLASSES).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)
+def direct(texts, order=4):
+    """Interpolated modified Kneser-Ney by its formula, over strings: a function of (context, character)."""
+    grams = collections.Counter()
+    for t in texts:
+        t = "\n" * (order - 1) + t + "\n"
+        grams.update(t[k : k + order] for k in range(len(t) - order + 1))
+    levels = {order: grams}
+    for n in range(order - 1, 0, -1):
+        levels[n] = collections.Counter(g[1:] for g in levels[n + 1])
+    d = {n: KneserNey.discounts(*(sum(c == i for c in levels[n].values()) for i in (1, 2, 3, 4))) for n in levels}
+
+    def p(ctx, ch):
+        n = len(ctx) + 1
+        lower = p(ctx[1:], ch) if n > 1 else 1 / 0x110000
+        mine = {g: c for g, c in levels[n].items() if g[:-1] == ctx}
+        if not mine:
+            return lower
+        total = sum(mine.values())
+        return max(mine.get(ctx + ch, 0) - d[n][min(mine.get(ctx + ch, 0), 3)], 0) / total + sum(d[n][min(c, 3)] for c in mine.values()) / total * lower
+
+    return p
+
+
+def as_grams(strings):
+    return np.array([[int.from_bytes(c.encode(), "little") for c in s] for s in strings], np.uint32)
+
+
+def test_kneser_ney_against_its_formula(spark):
+    r = random.Random(7)
+    scripts = ["etaoin srh", "привет мо", "中文字语言。", "añéß üö", "😀a "]
+    texts = ["".join(r.choice(s) for _ in range(r.randint(0, 60))) for s in scripts for _ in range(12)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model = fit_model(df)
+    p = direct([t for t in texts if t is not None])
+    asked = ["".join(r.choice(r.choice(scripts)) for _ in range(4)) for _ in range(60)] + [t[:4] for t in texts if t and len(t) > 3] + ["Ωxyz", "\n\n\ne", "wwwΩ"]
+    assert np.allclose(model.prob(as_grams(asked)), [p(s[:-1], s[-1]) for s in asked], rtol=1e-9)
+    assert (np.diff(model.orders[3][0].astype(object)) > 0).all()  # sorted, distinct
+
+
+@pytest.mark.parametrize("most", [1 << 20, 60])
+def test_kneser_ney_sums_to_one(spark, most):
+    """Also with a model that keeps few n-grams of each order."""
+    r = random.Random(8)
+    letters = "abcdefghij中é \n"
+    model = fit_model(spark.createDataFrame([("".join(r.choice(letters[: r.randint(2, 14)]) for _ in range(80)),) for _ in range(40)], "text string"), max_grams=most)
+    assert all(len(x[0]) <= most for x in model.orders)
+    seen = letters + "Ω"
+    for ctx in ("abc", "ba中", "ΩΩΩ", "\n\n\n", "é a"):
+        total = model.prob(as_grams([ctx + c for c in seen])).sum()
+        rest = model.prob(as_grams([ctx + "Ω"]))[0] * (0x110000 - len(seen))
+        assert abs(total + rest - 1) < 1e-9
+
+
+def test_scripts_are_told_apart(spark):
+    """Words of a script pass, shuffled letters and other scripts' noise don't, in Cyrillic and Chinese as in Latin."""
+    r = random.Random(9)
+    rows, odd = [], set()
+    for k, (lang, letters) in enumerate((("ru", "абвгдежзиклмнопрстуфхцчшщ"), ("zh", "的一是不了人我在有他这为之大来以个中上们"), ("en", "abcdefghijklmnoprstuvwyz"))):
+        vocab = ["".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(40)]
+        for i in range(150):
+            rows.append((1000 * k + i, " ".join(r.choice(vocab) for _ in range(r.randint(60, 140))), lang))
+        for i in range(150, 153):
+            rows.append((1000 * k + i, " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(90)), lang))
+            odd.add(1000 * k + i)
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {i for i, x in got.items() if not x.base_failed and not x.kept} == odd
