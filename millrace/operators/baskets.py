@@ -27,7 +27,8 @@ def next_level(b: DataFrame, level: DataFrame, support: int, size: int) -> DataF
     """Frequent sets of ``size`` from those of ``size - 1``.
 
     Candidates extend a frequent set by a greater item with which the set's other members are frequent, too (all
-    subsets are checked); they are counted by joining candidates to the baskets that hold their prefix.
+    subsets are checked); they are counted by joining candidates to the baskets that hold their first two items.
+    ``size`` is 3 or more.
     """
     prev = level.select("items")
     a = prev.select(F.slice("items", 1, size - 2).alias("prefix"), F.element_at("items", -1).alias("x"))
@@ -37,10 +38,14 @@ def next_level(b: DataFrame, level: DataFrame, support: int, size: int) -> DataF
     if size > 2:
         subsets = cand.select("items", F.explode(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.filter("items", lambda v, i: i != k - 1))).alias("sub"))
         cand = subsets.join(prev.withColumnRenamed("items", "sub"), "sub", "left_semi").groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == size).select("items")
-    # one row for each basket and frequent (size - 1)-set in it, extended by the basket's own greater items
-    held = b.select("basket", F.col("items").alias("all"), F.explode("items").alias("x"))
-    first = cand.select("items", F.element_at("items", 1).alias("x"))
-    return held.join(first, "x").where(F.size(F.array_except("items", "all")) == 0).groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    # baskets of frequent items only; each pair in one meets the candidates that begin with it
+    keep = prev.select(F.explode("items").alias("item")).distinct()
+    slim = _rows(b).join(keep, "item", "left_semi").groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("all")).where(F.size("all") >= size)
+    held = slim.select("all", F.posexplode("all").alias("p", "x")).select("x", F.slice("all", F.col("p") + 2, F.size("all")).alias("after"))
+    held = held.select("x", F.posexplode("after").alias("p", "y"), "after").select("x", "y", F.slice("after", F.col("p") + 2, F.size("after")).alias("rest")).where(F.size("rest") >= size - 2)
+    first = cand.select("items", F.element_at("items", 1).alias("x"), F.element_at("items", 2).alias("y"), F.slice("items", 3, size).alias("more"))
+    fits = F.array_contains("rest", F.element_at("items", -1)) if size == 3 else F.size(F.array_except("more", "rest")) == 0
+    return held.join(first, ["x", "y"]).where(fits).groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
 
 
 def frequent_pairs(b: DataFrame, support: int) -> DataFrame:
@@ -73,18 +78,30 @@ def frequent_itemsets(b: DataFrame, support: int, cut=None) -> DataFrame:
     return out.select("size", "items", "n")
 
 
-def son_candidates(b: DataFrame, support: int, parts: int) -> DataFrame:
-    """(items, locals): single items that reach their share of the support in some of ``parts`` parts of the baskets.
+def son_candidates(b: DataFrame, support: int, parts: int, part=None, max_size: int = 1) -> DataFrame:
+    """(items, locals): sets of up to ``max_size`` items that reach their share of the support in some part of the baskets.
 
-    Each part's threshold is support * (its baskets) / (all baskets); every frequent item is among them.
+    Each part's threshold is support * (its baskets) / (all baskets), so every frequent set is among them. ``part``: a
+    column from 0 to ``parts`` - 1; by default from a hash of the basket.
     """
-    part = F.pmod(F.xxhash64("basket"), F.lit(parts))
+    part = F.pmod(F.xxhash64("basket"), F.lit(parts)) if part is None else part
     p = b.withColumn("part", part)
     sizes = p.groupBy("part").agg(F.count("*").alias("own"))
     total = sizes.agg(F.sum("own").alias("total"))
-    local = p.select("part", F.explode("items").alias("item")).groupBy("part", "item").agg(F.count("*").alias("n"))
-    ok = local.join(F.broadcast(sizes), "part").join(F.broadcast(total)).where(F.col("n") * F.col("total") >= F.lit(support) * F.col("own"))  # `parts` rows and one row
-    return ok.groupBy("item").agg(F.count("*").alias("locals")).select(F.array("item").alias("items"), "locals")
+    share = F.broadcast(sizes.join(F.broadcast(total)))  # `parts` rows
+    enough = F.col("n") * F.col("total") >= F.lit(support) * F.col("own")
+    local = p.select("part", "basket", F.explode("items").alias("item")).groupBy("part", "item").agg(F.count("*").alias("n"))
+    level = local.join(share, "part").where(enough).select("part", F.array("item").alias("items"))
+    out = level
+    for size in range(2, max_size + 1):
+        a = level.select("part", F.slice("items", 1, size - 2).alias("prefix"), F.element_at("items", -1).alias("x"))
+        cand = a.join(a.withColumnRenamed("x", "y"), ["part", "prefix"]).where("x < y").select("part", F.concat("prefix", F.array("x", "y")).alias("set"))
+        first = cand.select("part", "set", F.element_at("set", 1).alias("k1"), F.element_at("set", 2).alias("k2"))
+        held = p.select("part", "items", F.posexplode("items").alias("at", "k1")).select("part", "items", "k1", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("k2"))
+        n = held.join(first, ["part", "k1", "k2"]).where(F.size(F.array_except("set", "items")) == 0).groupBy("part", "set").agg(F.count("*").alias("n"))
+        level = n.join(share, "part").where(enough).select("part", F.col("set").alias("items"))
+        out = out.unionByName(level)
+    return out.groupBy("items").agg(F.count("*").alias("locals"))
 
 
 def retail_rows(df: DataFrame, date: str, customer: str, product: str) -> DataFrame:

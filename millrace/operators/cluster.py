@@ -85,6 +85,20 @@ def kmeans(p: DataFrame, k: int, seed: int = 1, iterations: int = 20, init: str
     return model.transform(x).select("id", "point", F.col("prediction").alias("label"))
 
 
+def balanced(p: DataFrame, k: int, seed: int, uneven: float, retries: int, cut) -> DataFrame:
+    """(id, point, label) of k clusters, the greatest of at most ``uneven`` times the mean size if some start gives that."""
+    best, least = None, None
+    for turn in range(retries + 1):
+        made = cut(kmeans(p, k, seed + turn).select("id", "point", "label"))
+        n = [r["n"] for r in made.groupBy("label").agg(F.count("*").alias("n")).collect()]  # k rows
+        most = max(n, default=0) * k / max(1, sum(n))
+        if least is None or most < least:
+            best, least = made, most
+        if least <= uneven:
+            break
+    return best
+
+
 class _Summary:
     """N, SUM and SUMSQ of some clusters, kept in the driver: a row for each, whatever they hold."""
 
@@ -118,12 +132,13 @@ class _Summary:
         return min(float(np.sqrt((((ma - mb) / np.where(s > 0, s, 1)) ** 2).sum())) for s in (sa, sb))
 
 
-def bfr(p: DataFrame, k: int, dims: int, n_chunks: int = 5, seed: int = 1, wide: int = 5, small: int = 20, cut=None) -> tuple[DataFrame, DataFrame]:
+def bfr(p: DataFrame, k: int, dims: int, n_chunks: int = 5, seed: int = 1, wide: int = 5, small: int = 20, uneven: float = 1.8, retries: int = 5, cut=None) -> tuple[DataFrame, DataFrame]:
     """BFR clustering: (rounds, labels).
 
     rounds: (round, ds_points, cs_clusters, cs_points, rs_points) after each chunk; labels: (id, cluster), -1 for
     outliers. The first chunk is clustered finely; clusters under ``small`` points are the retained set (RS), the
-    rest gives k discard-set (DS) clusters. Points of later chunks go to the nearest DS cluster, else to the nearest
+    rest gives k discard-set (DS) clusters; while the greatest has over ``uneven`` times the mean size, they are made
+    again from another start, ``retries`` times at most, and the most even ones stay. Points of later chunks go to the nearest DS cluster, else to the nearest
     compression-set (CS) cluster within 2 sqrt(dims), else to RS, which is clustered again; close CS clusters merge.
     Points stay in DataFrames (materialised by ``cut``); only summaries are in the driver.
     """
@@ -137,7 +152,7 @@ def bfr(p: DataFrame, k: int, dims: int, n_chunks: int = 5, seed: int = 1, wide:
     rs = cut(fine.join(big, "label", "left_anti").select("id", "point"))
     if main.isEmpty():
         main, rs = fine, rs.limit(0)
-    assigned = cut(kmeans(main.select("id", "point"), k, seed).select("id", "point", "label"))
+    assigned = balanced(main.select("id", "point"), k, seed, uneven, retries, cut)
     ds, cs, next_id, placed = _Summary.of(assigned), _Summary(), k, [assigned.select("id", F.col("label").alias("cluster"))]
 
     def compress(rs):
@@ -174,12 +189,12 @@ def bfr(p: DataFrame, k: int, dims: int, n_chunks: int = 5, seed: int = 1, wide:
             placed.append(hit.select("id", F.col("label").alias("cluster")))
             rest = near.where("cluster < 0").select("id", "point")
         rs = compress(cut(rs.unionByName(rest)))
-        close = True
-        while close:
-            keys = sorted(cs.n)
-            close = next(((a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if cs.distance(a, b) < limit), None)
-            if close:
-                merge(*close, cs)
+        todo = sorted(cs.n)
+        while todo:  # a cluster is compared with all others again only after it has grown
+            a = todo.pop(0)
+            while a in cs.n and (near_ := [b for b in sorted(cs.n) if b != a and cs.distance(a, b) < limit]):
+                a, b = min(a, near_[0]), max(a, near_[0])
+                merge(a, b, cs)
         if c == n_chunks - 1:
             for b in sorted(cs.n):
                 both = _Summary()

@@ -33,12 +33,14 @@ def item_similarity(r: DataFrame, min_corated: int = 3, only: DataFrame | None =
     return t if only is not None else t.unionByName(t.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", "sim", "adj"))
 
 
-def predict(train: DataFrame, pairs: DataFrame, n_neighbors: int = 5, order: str = "desc", min_neighbors: int = 5, min_numerator: float = 0.0, default: float = DEFAULT, cascade: str = "v1", min_corated: int = 3) -> DataFrame:
+def predict(train: DataFrame, pairs: DataFrame, n_neighbors: int = 5, order: str = "desc", min_neighbors: int = 5, min_numerator: float = 0.0, default: float = DEFAULT, cascade: str = "v1", min_corated: int = 3, leave_out: bool = False) -> DataFrame:
     """(u, i, prediction, source) for each (u, i) of ``pairs``.
 
     The user's ``n_neighbors`` most (``desc``) or least (``asc``) similar rated items give a weighted mean, if there
     are ``min_neighbors`` and its numerator exceeds ``min_numerator``; otherwise: v1 - unknown user: default, unknown
     item: the user's mean, else the item's mean; v2 - the item's mean if only the user is unknown, default otherwise.
+    With ``leave_out`` a rating that ``train`` has for the pair counts neither as a neighbour (an item is none of its
+    own) nor in the means; similarities are those of all ratings.
     """
     pairs = pairs.select("u", "i").distinct()
     sim = item_similarity(train, min_corated, only=pairs)
@@ -47,9 +49,12 @@ def predict(train: DataFrame, pairs: DataFrame, n_neighbors: int = 5, order: str
     top = near.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= n_neighbors)
     w = top.groupBy("u", "i").agg(F.count("*").alias("k"), F.sum(F.col("adj") * F.col("s")).alias("num"), F.sum(F.abs("adj")).alias("den"))
     w = w.where((F.col("k") >= min_neighbors) & (F.col("num") > min_numerator)).select("u", "i", (F.col("num") / F.col("den")).alias("p"))
-    um = train.groupBy("u").agg(F.avg("s").alias("um"))
-    im = train.groupBy("i").agg(F.avg("s").alias("im"))
-    x = pairs.join(um, "u", "left").join(im, "i", "left").join(w, ["u", "i"], "left")
+    if leave_out:
+        x = pairs.join(_without_own(train).drop("s"), ["u", "i"], "left").join(w, ["u", "i"], "left")
+    else:
+        um = train.groupBy("u").agg(F.avg("s").alias("um"))
+        im = train.groupBy("i").agg(F.avg("s").alias("im"))
+        x = pairs.join(um, "u", "left").join(im, "i", "left").join(w, ["u", "i"], "left")
     cold_u, cold_i = F.col("um").isNull(), F.col("im").isNull()
     if cascade == "v1":
         p = F.when(cold_u, F.lit(default)).when(cold_i, F.col("um")).otherwise(F.coalesce("p", "im"))
@@ -59,13 +64,18 @@ def predict(train: DataFrame, pairs: DataFrame, n_neighbors: int = 5, order: str
     return x.select("u", "i", p.alias("prediction"), source.alias("source"))
 
 
-def leave_one_out(r: DataFrame, default: float = DEFAULT) -> DataFrame:
-    """(u, i, s, item_avg, user_avg) without the rating itself; the default where nothing else is left."""
+def _without_own(r: DataFrame) -> DataFrame:
+    """(u, i, s, im, um): the item's and the user's mean without the rating itself; null where nothing else is left."""
     def without(key):
         w = Window.partitionBy(key)
-        return F.coalesce(F.try_divide(F.sum("s").over(w) - F.col("s"), F.count("*").over(w) - 1), F.lit(default))
+        return F.try_divide(F.sum("s").over(w) - F.col("s"), F.count("*").over(w) - 1)
 
-    return r.select("u", "i", "s", without("i").alias("item_avg"), without("u").alias("user_avg"))
+    return r.select("u", "i", "s", without("i").alias("im"), without("u").alias("um"))
+
+
+def leave_one_out(r: DataFrame, default: float = DEFAULT) -> DataFrame:
+    """(u, i, s, item_avg, user_avg) without the rating itself; the default where nothing else is left."""
+    return _without_own(r).select("u", "i", "s", *[F.coalesce(c, F.lit(default)).alias(n) for c, n in (("im", "item_avg"), ("um", "user_avg"))])
 
 
 def rating_stddev(r: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -99,6 +109,21 @@ def fit_switch(train: DataFrame, features: list[str], trees: int = 10, depth: in
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTClassifier(labelCol="switch", maxIter=trees, maxDepth=depth, seed=seed)]).fit(train.fillna(-1.0, features))
 
 
+def accuracy(p: DataFrame, label: str, prediction: str) -> DataFrame:
+    """(n, correct, accuracy) of a classifier's predictions."""
+    hit = F.count_if(F.col(label) == F.col(prediction))
+    return p.agg(F.count("*").alias("n"), hit.alias("correct"), F.try_divide(hit, F.count("*")).alias("accuracy"))
+
+
+def components(df: DataFrame, column: str, out: str, k: int, vocabulary: int = 1000, least: int = 1):
+    """A stored-pipeline part: an array column as a 0/1 vector of its ``vocabulary`` most frequent words, then ``k`` components."""
+    from pyspark.ml.feature import CountVectorizer
+
+    words = CountVectorizer(inputCol=column, outputCol=f"{out}_hot", vocabSize=vocabulary, minDF=float(least), binary=True).fit(df)
+    size = len(words.vocabulary)
+    return Pipeline(stages=[words, PCA(k=min(k, size), inputCol=f"{out}_hot", outputCol=out)]).fit(df)
+
+
 def weighted_hybrid(a, b, share: float):
     """share * a + (1 - share) * b, as a column."""
     return a * share + b * (1 - share)

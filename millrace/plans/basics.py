@@ -236,10 +236,16 @@ _B3 = "b3 AS MATERIALIZED (SELECT DISTINCT l_orderkey AS basket, p_brand AS item
 SQL["frequent_itemsets_filtered"] = sql(_ALL, *_FB).replace(sql("", "b")[len("WITH RECURSIVE ") : -1], _B3)
 
 
-@query("SELECT item AS items FROM f1", "b", "sup", "f1")
+_SON = """SELECT items, count(*) AS locals FROM (
+SELECT basket % 4 AS part, item AS items, count(*) AS n FROM b GROUP BY 1, 2
+UNION ALL SELECT x.basket % 4, x.item || ',' || y.item, count(*) FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2)
+JOIN (SELECT basket % 4 AS part, count(DISTINCT basket) AS own FROM b GROUP BY 1) USING (part)
+WHERE n * (SELECT count(DISTINCT basket) FROM b) >= (SELECT k FROM sup) * own GROUP BY items"""
+
+
+@query(_SON, "b", "sup")
 def son_candidates(spark, d):
-    """The frequent ones among the candidates: all frequent items are candidates."""
+    """All candidates of one and two items, with the number of parts that propose each."""
     b = V.baskets(spark, d)
-    k = V.support(b)
-    cand = B.son_candidates(b, k, 8).select("items")
-    return B.frequent_items(b, k).join(cand, "items", "left_semi").select(F.element_at("items", 1).alias("items"))
+    cand = B.son_candidates(b, V.support(b), 4, F.pmod(F.col("basket"), F.lit(4)), max_size=2)
+    return cand.select(F.array_join("items", ",").alias("items"), "locals")

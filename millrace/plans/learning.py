@@ -125,6 +125,22 @@ def cf_predict_compat(spark, d):
     return _show(_predicted(spark, d, order="asc", min_neighbors=5, min_numerator=25.0))
 
 
+_LOO = f"""SELECT r.u, r.i, round(CASE WHEN um IS NULL THEN 3.75 WHEN im IS NULL THEN um ELSE coalesce(p, im) END, 6) AS prediction,
+CASE WHEN um IS NULL OR im IS NULL THEN 'cold' WHEN p IS NOT NULL THEN 'neighbours' ELSE 'item' END AS source
+FROM (SELECT u, i, (sum(s) OVER a - s) / nullif(count(*) OVER a - 1, 0) AS im, (sum(s) OVER b - s) / nullif(count(*) OVER b - 1, 0) AS um FROM r WINDOW a AS (PARTITION BY i), b AS (PARTITION BY u)) r
+LEFT JOIN (SELECT u, i, sum(adj * s) / sum(abs(adj)) AS p FROM (
+SELECT t.u, t.i, adj, r.s, row_number() OVER (PARTITION BY t.u, t.i ORDER BY round(adj, 9) DESC, j) AS k
+FROM r t JOIN (SELECT i, j, {_ADJ} AS adj FROM ({_SIM})) sm ON sm.i = t.i JOIN r ON r.u = t.u AND r.i = sm.j)
+WHERE k <= 5 GROUP BY u, i HAVING count(*) >= 2 AND sum(adj * s) > 0) w ON w.u = r.u AND w.i = r.i"""
+
+
+@query(_LOO, "rv", "r", "mc")
+def loo_cf_predict(spark, d):
+    """Item-based predictions of known ratings without themselves: what trains the models that take them as a feature."""
+    r = V.ratings(spark, d)
+    return _show(R.predict(r, r, min_neighbors=2, leave_out=True))
+
+
 @query("SELECT u, i, s, round(coalesce((sum(s) OVER a - s) / nullif(count(*) OVER a - 1, 0), 3.75), 6) AS item_avg, round(coalesce((sum(s) OVER b - s) / nullif(count(*) OVER b - 1, 0), 3.75), 6) AS user_avg FROM r WINDOW a AS (PARTITION BY i), b AS (PARTITION BY u)", "rv", "r")
 def loo_averages(spark, d):
     return R.leave_one_out(V.ratings(spark, d)).select("u", "i", "s", F.round("item_avg", 6).alias("item_avg"), F.round("user_avg", 6).alias("user_avg"))
@@ -135,9 +151,30 @@ def rating_stddev(spark, d):
     return R.rating_stddev(V.train(spark, d), V.test(spark, d).select("u", "i")).select("u", "i", F.round("u_std", 4).alias("u_std"), F.round("i_std", 4).alias("i_std"))
 
 
-@query("SELECT u, i, CASE WHEN abs(round(m - s, 9)) < abs(round(t - s, 9)) THEN 1 ELSE 0 END AS switch FROM (SELECT u, i, s, coalesce((sum(s) OVER b - s) / nullif(count(*) OVER b - 1, 0), 3.75) AS m, coalesce((sum(s) OVER a - s) / nullif(count(*) OVER a - 1, 0), 3.75) AS t FROM r WINDOW a AS (PARTITION BY i), b AS (PARTITION BY u))", "rv", "r")
+_LABELS = f"SELECT u, i, s, CASE WHEN abs(round(m - s, 9)) < abs(round(prediction - s, 9)) THEN 1 ELSE 0 END AS switch FROM pp JOIN (SELECT te.u, te.i, (coalesce(ua, 3.75) + coalesce(ia, 3.75)) / 2 AS m FROM te LEFT JOIN (SELECT u, avg(s) AS ua FROM tr GROUP BY u) USING (u) LEFT JOIN (SELECT i, avg(s) AS ia FROM tr GROUP BY i) USING (i)) USING (u, i)"
+
+
+def _two(spark, d):
+    """Test pairs with a simple model's (mean of user's and item's mean) and the item-based prediction."""
+    r = V.train(spark, d)
+    ua, ia = (r.groupBy(k).agg(F.avg("s").alias(k + "a")) for k in "ui")
+    m = (F.coalesce("ua", F.lit(3.75)) + F.coalesce("ia", F.lit(3.75))) / 2
+    return _judged(spark, d).withColumnRenamed("prediction", "item").join(ua, "u", "left").join(ia, "i", "left").withColumn("model", m)
+
+
+@query(_predict("v1", "DESC") + "SELECT u, i, switch FROM (" + _LABELS + ")")
 def switch_labels(spark, d):
-    return R.switch_labels(R.leave_one_out(V.ratings(spark, d)), model="user_avg", item="item_avg").select("u", "i", "switch")
+    """Whether a model's error is less than the item-based prediction's."""
+    return R.switch_labels(_two(spark, d)).select("u", "i", "switch")
+
+
+@query(_predict("v1", "DESC") + f"SELECT count(*) AS n, sum(CAST((abs(switch - coalesce(su < si, false)::INT) = 0) AS BIGINT))::BIGINT AS correct, round(avg(CASE WHEN switch = coalesce(su < si, false)::INT THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_LABELS}) x LEFT JOIN (SELECT u, round(stddev_pop(s), 9) AS su FROM tr GROUP BY u) USING (u) LEFT JOIN (SELECT i, round(stddev_pop(s), 9) AS si FROM tr GROUP BY i) USING (i)")
+def switch_accuracy(spark, d):
+    """Accuracy of a rule that picks the model where the user's ratings differ less than the item's."""
+    r = V.train(spark, d)
+    su, si = (r.groupBy(k).agg(F.round(F.stddev_pop("s"), 9).alias("s" + k)) for k in "ui")
+    t = R.switch_labels(_two(spark, d)).join(su, "u", "left").join(si, "i", "left").withColumn("guess", F.coalesce(F.col("su") < F.col("si"), F.lit(False)).cast("int"))
+    return R.accuracy(t, "switch", "guess").withColumn("accuracy", F.round("accuracy", 6))
 
 
 _M = "SELECT count(*) AS n, round(sqrt(avg((prediction - s) * (prediction - s))), 6) AS rmse, round(avg(prediction), 6) AS mean_pred, round(stddev_pop(prediction), 6) AS std_pred, round(avg(s), 6) AS mean_truth, round(stddev_pop(s), 6) AS std_truth FROM pp"
@@ -190,33 +227,58 @@ def multi_hot(spark, d):
     return R.multi_hot(S.parquet(spark, d, "part"), "p_partkey", "p_type", " ", 10)
 
 
-def _model(spark, d, trees: int, rate: float, columns: list[str]):
-    r = V.train(spark, d)
-    m = R.fit_gbt(_features(spark, d, r, r), columns, "s", trees, 5, rate)
-    out = m.transform(_features(spark, d, V.test(spark, d), r).fillna(-1.0, columns))
+def _learning_features(spark, d, r):
+    """Features of ratings to learn from: a rating has no part in its own means and item-based prediction."""
+    loo = R._without_own(r).select("u", "i", F.col("um").alias("_u"), F.col("im").alias("_i"))
+    f = _features(spark, d, r, r).join(loo, ["u", "i"], "left")
+    f = f.withColumns({"user_avg": F.col("_u"), "item_avg": F.col("_i"), "user_n": F.col("user_n") - 1, "item_n": F.col("item_n") - 1}).drop("_u", "_i")
+    cf = R.predict(r, r, min_neighbors=2, leave_out=True).select("u", "i", F.col("prediction").alias("cf"))
+    return f.join(cf, ["u", "i"], "left")
+
+
+def _model(spark, d, trees: int, depth: int, rate: float, columns: list[str], train=None, test=None):
+    r, pairs = (V.train(spark, d) if train is None else train), (V.test(spark, d) if test is None else test)
+    f = _learning_features(spark, d, r).select("s", *columns).checkpoint()
+    m = R.fit_gbt(f, columns, "s", trees, depth, rate)
+    asked = _features(spark, d, pairs, r)
+    if "cf" in columns:
+        asked = asked.join(R.predict(r, pairs, min_neighbors=2).select("u", "i", F.col("prediction").alias("cf")), ["u", "i"], "left")
+    out = m.transform(asked.fillna(-1.0, columns))
     return out.select("u", "i", "s", F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("prediction"))).alias("prediction"))
 
 
+_FOUR = ["user_avg", "user_n", "item_avg", "item_n"]
+
+
 @query()
 def model_cf(spark, d):
     """Boosted trees on four features."""
-    return _model(spark, d, 10, 0.1, ["user_avg", "user_n", "item_avg", "item_n"])
+    return _model(spark, d, 30, 7, 0.1, _FOUR)
 
 
 @query()
 def model_cf_full(spark, d):
-    """Boosted trees on all features, with a lower rate."""
-    return _model(spark, d, 20, 0.05, FEATURES)
+    """Boosted trees on all features and the item-based prediction, with a lower rate."""
+    return _model(spark, d, 60, 5, 0.05, [*FEATURES, "cf"])
+
+
+def _both(spark, d, train, test, trees=15, depth=5):
+    """Both predictions of ``test`` from ``train``, with the deviations that the switch goes by."""
+    model = _model(spark, d, trees, depth, 0.1, _FOUR, train, test).withColumnRenamed("prediction", "model")
+    item = R.predict(train, test, min_neighbors=2).select("u", "i", F.col("prediction").alias("item"))
+    return R.rating_stddev(train, model.join(item, ["u", "i"])).checkpoint()
 
 
 @query()
 def hybrid_switch(spark, d):
-    """A classifier picks the model's or the item-based prediction for each pair, by keys."""
-    model = _model(spark, d, 5, 0.1, ["user_avg", "user_n", "item_avg", "item_n"]).withColumnRenamed("prediction", "model")
-    item = _predicted(spark, d).select("u", "i", F.col("prediction").alias("item"))
-    both = R.rating_stddev(V.train(spark, d), model.join(item, ["u", "i"])).checkpoint()
-    fitted = R.fit_switch(R.switch_labels(both), ["u_std", "i_std"], trees=5, depth=3)
-    out = fitted.transform(both)
+    """A classifier picks the model's or the item-based prediction for each pair, by keys.
+
+    It is fitted on a part of the training ratings that both predictions were made for without knowing it.
+    """
+    r = V.train(spark, d)
+    held = F.pmod(F.col("u") * 31 + F.col("i"), F.lit(4)) == 0
+    fitted = R.fit_switch(R.switch_labels(_both(spark, d, r.where(~held), r.where(held))), ["u_std", "i_std"], trees=5, depth=3)
+    out = fitted.transform(_both(spark, d, r, V.test(spark, d)))
     return out.select("u", "i", "s", F.col("prediction").cast("int").alias("switch"), F.when(F.col("prediction") == 1, F.col("model")).otherwise(F.col("item")).alias("final"))
 
 
@@ -260,9 +322,9 @@ def cluster_distance(spark, d):
     return C.cluster_distances(C.cluster_stats(V.vectors(spark, d))).select("a", "b", F.round("dist", 5).alias("dist"))
 
 
-@query("SELECT id, round(g, 5) AS dist FROM (SELECT id, sqrt(sum(power((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 2))) AS g FROM pt JOIN (SELECT dim, avg(x) AS m, stddev_pop(x) AS sd FROM pt GROUP BY dim) USING (dim) GROUP BY id) WHERE g >= 1.1 * sqrt(64)", "pt")
+@query("SELECT id, round(g, 5) AS dist FROM (SELECT id, sqrt(sum(power((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 2))) AS g FROM pt JOIN (SELECT dim, avg(x) AS m, stddev_pop(x) AS sd FROM pt GROUP BY dim) USING (dim) GROUP BY id) WHERE g >= 1.01 * sqrt(64)", "pt")
 def outlier_points(spark, d):
-    return C.outliers(V.vectors(spark, d), 64, 1.1).select("id", F.round("dist", 5).alias("dist"))
+    return C.outliers(V.vectors(spark, d), 64, 1.01).select("id", F.round("dist", 5).alias("dist"))
 
 
 @query("SELECT CAST(((vec_id * 7919 + 13) % 1000003) % 5 AS INTEGER) AS chunk, count(*) AS n FROM embeddings GROUP BY 1")
