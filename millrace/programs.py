@@ -6,7 +6,10 @@ import inspect
 import sys
 import time
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,8 @@ from .operators import sketches as K
 from .session import build_session, shared_dir
 from .sources import tables as S
 
-USER_SCHEMA = "user_id string, average_stars double, review_count int, fans int, friends string, yelping_since string, useful int, funny int, cool int"
+_COMPLIMENTS = [f"compliment_{c}" for c in "hot more profile cute list note plain cool funny writer photos".split()]
+USER_SCHEMA = "user_id string, average_stars double, review_count int, fans int, friends string, yelping_since string, useful int, funny int, cool int, " + ", ".join(f"{c} int" for c in _COMPLIMENTS)
 
 
 def explore(spark: SparkSession, input: str, output: str) -> None:
@@ -105,20 +109,54 @@ def item_cf(spark: SparkSession, train: str, test: str, output: str) -> None:
 
 
 _MODEL = ["average_stars", "review_count", "b_stars", "b_count"]
-_FULL = [*_MODEL, "fans_sq", "n_friends_sq", "days_member", "item_avg", "user_avg", "latitude", "longitude", *(f"open_{d}" for d in "mon tue wed thu fri sat sun".split())]
+_FULL = [*_MODEL, "fans_sq", "n_friends_sq", "days_member", "useful", "funny", "cool", "item_avg", "user_avg", "cf", "latitude", "longitude", *(f"open_{d}" for d in "mon tue wed thu fri sat sun".split())]
+_VECTORS = {"state_hot": 0, "city_pca": 10, "category_pca": 10, "compliment_pca": 5}  # and their components
 
 
-def _features(spark: SparkSession, folder: str, pairs: DataFrame, train: DataFrame) -> DataFrame:
-    u = R.user_features(S.read_json_lines(spark, f"{folder}/user.json", USER_SCHEMA), "2019-01-01").withColumnRenamed("user_id", "u")
-    b = R.weekday_flags(S.read_json_lines(spark, f"{folder}/business.json", S.BUSINESS_SCHEMA), "hours").select(F.col("business_id").alias("i"), F.col("stars").alias("b_stars"), F.col("review_count").alias("b_count"), "latitude", "longitude", *[c for c in _FULL if c.startswith("open_")])
+def _users(spark: SparkSession, folder: str) -> DataFrame:
+    u = R.user_features(S.read_json_lines(spark, f"{folder}/user.json", USER_SCHEMA), "2019-01-01").where("user_id is not null")
+    return u.fillna(0, _COMPLIMENTS).withColumnRenamed("user_id", "u")
+
+
+def _businesses(spark: SparkSession, folder: str) -> DataFrame:
+    b = R.weekday_flags(S.read_json_lines(spark, f"{folder}/business.json", S.BUSINESS_SCHEMA), "hours").where("business_id is not null")
+    b = b.withColumns({"cities": F.array(F.coalesce("city", F.lit(""))), "words": F.split(F.coalesce("categories", F.lit("")), ", "), "state": F.coalesce("state", F.lit(""))})
+    return b.select(F.col("business_id").alias("i"), F.col("stars").alias("b_stars"), F.col("review_count").alias("b_count"), "latitude", "longitude", "state", "cities", "words", *[c for c in _FULL if c.startswith("open_")])
+
+
+def _encoders(spark: SparkSession, folder: str) -> dict[str, PipelineModel]:
+    """State as one-hot columns without the last, cities and categories as components of 0/1 vectors, compliments as components."""
+    b, u = _businesses(spark, folder), _users(spark, folder)
+    k = {n: v for n, v in _VECTORS.items() if v}
+    state = Pipeline(stages=[StringIndexer(inputCol="state", outputCol="state_n", handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=["state_n"], outputCols=["state_hot"], dropLast=True)]).fit(b)
+    thanks = Pipeline(stages=[VectorAssembler(inputCols=_COMPLIMENTS, outputCol="thanks", handleInvalid="keep"), PCA(k=k["compliment_pca"], inputCol="thanks", outputCol="compliment_pca")]).fit(u)
+    return {"state": state, "city": R.components(b, "cities", "city_pca", k["city_pca"]), "category": R.components(b, "words", "category_pca", k["category_pca"]), "compliment": thanks}
+
+
+def _features(spark: SparkSession, folder: str, pairs: DataFrame, train: DataFrame, encoders: dict[str, PipelineModel] | None = None) -> DataFrame:
+    u, b = _users(spark, folder), _businesses(spark, folder)
+    full = encoders is not None
+    if full:
+        for name, e in encoders.items():
+            u, b = (e.transform(u), b) if name == "compliment" else (u, e.transform(b))
+        flat = lambda t: [vector_to_array(c).alias(c) for c in _VECTORS if c in t.columns]
+        u, b = (t.select(k, *[c for c in _FULL if c in t.columns], *flat(t)) for k, t in (("u", u), ("i", b)))
+    known = "s" in pairs.columns  # a rating isn't a feature of itself
     f = pairs.join(u, "u", "left").join(b, "i", "left")
-    if "s" in pairs.columns:  # a rating isn't a feature of itself
-        loo = R.leave_one_out(train).drop("s")
-        return f.join(loo, ["u", "i"], "left")
+    if full:
+        f = f.join(R.predict(train, pairs, leave_out=known).select("u", "i", F.col("prediction").alias("cf")), ["u", "i"], "left")
+    if known:
+        return f.join(R.leave_one_out(train).drop("s"), ["u", "i"], "left")
     ia, ua = (train.groupBy(k).agg(F.avg("s").alias(n)) for k, n in (("i", "item_avg"), ("u", "user_avg")))
     return f.join(ia, "i", "left").join(ua, "u", "left")
 
 
+def _filled(f: DataFrame, encoders: dict[str, PipelineModel]) -> DataFrame:
+    """Vectors; those of unknown users and businesses are all -1, as missing numbers are."""
+    size = {"state_hot": encoders["state"].stages[-1].categorySizes[0] - 1, **{f"{n}_pca": encoders[n].stages[-1].getK() for n in ("city", "category", "compliment")}}
+    return f.withColumns({c: array_to_vector(F.coalesce(c, F.array_repeat(F.lit(-1.0), n))) for c, n in size.items()})
+
+
 def _model(spark: SparkSession, folder: str, test: str, columns: list[str], trees: int, rate: float) -> DataFrame:
     train = _ratings(spark, f"{folder}/yelp_train.csv")
     fitted = R.fit_gbt(_features(spark, folder, train, train), columns, "s", trees, 7, rate)
@@ -149,9 +187,24 @@ def hybrid(spark: SparkSession, folder: str, test: str, output: str, model: str)
     _out(x.withColumn("prediction", F.when(F.col("prediction") == 1, F.col("m")).otherwise(F.col("c"))), output)
 
 
-def recommend(spark: SparkSession, folder: str, test: str, output: str) -> None:
-    """The final recommender: boosted trees on all features, clipped to [1, 5]."""
-    _out(_model(spark, folder, test, _FULL, 220, 0.05), output, "stars")
+def train_recommender(spark: SparkSession, folder: str, model: str, trees: str = "220") -> None:
+    """Fits and stores the final recommender: its feature encoders and the boosted trees on all features."""
+    train = _ratings(spark, f"{folder}/yelp_train.csv")
+    encoders = _encoders(spark, folder)
+    for name, e in encoders.items():
+        e.write().overwrite().save(f"{model}/{name}")
+    f = _filled(_features(spark, folder, train, train, encoders), encoders).select("s", *_FULL, *_VECTORS).fillna(-1.0, _FULL).checkpoint()
+    stages = [VectorAssembler(inputCols=[*_FULL, *_VECTORS], outputCol="features"), GBTRegressor(labelCol="s", maxIter=int(trees), maxDepth=7, stepSize=0.05, seed=1, maxMemoryInMB=512)]
+    Pipeline(stages=stages).fit(f).write().overwrite().save(f"{model}/trees")
+
+
+def recommend(spark: SparkSession, folder: str, test: str, output: str, model: str) -> None:
+    """The final recommender, as ``train_recommender`` stored it; predictions are clipped to [1, 5]."""
+    train = _ratings(spark, f"{folder}/yelp_train.csv")
+    encoders = {n: PipelineModel.load(f"{model}/{n}") for n in ("state", "city", "category", "compliment")}
+    f = _filled(_features(spark, folder, _ratings(spark, test).select("u", "i"), train, encoders), encoders).fillna(-1.0, _FULL)
+    out = PipelineModel.load(f"{model}/trees").transform(f)
+    _out(out.withColumn("prediction", clip(F.col("prediction"), 1, 5)), output, "stars")
 
 
 def rmse(spark: SparkSession, predictions: str, truth: str, output: str) -> None:
@@ -221,7 +274,7 @@ def bfr(spark: SparkSession, input: str, n_cluster: str, output: str) -> None:
     S.write_lines(head.union(rest), F.col("value"), output, [F.col("k")])
 
 
-PROGRAMS = {f.__name__: f for f in (explore, partitions, city_stars, itemsets, retail_itemsets, similar, item_cf, model_cf, train_switch, hybrid, recommend, rmse, communities, girvan_newman, bloom, flajolet_martin, reservoir, bfr)}
+PROGRAMS = {f.__name__: f for f in (explore, partitions, city_stars, itemsets, retail_itemsets, similar, item_cf, model_cf, train_switch, hybrid, train_recommender, recommend, rmse, communities, girvan_newman, bloom, flajolet_martin, reservoir, bfr)}
 
 
 def main(args: list[str]) -> int:
