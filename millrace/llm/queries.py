@@ -17,7 +17,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_dedup
 
-    return near_dedup(_read(spark, sf_dir, "documents"))
+    return near_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +82,27 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm(_read(spark, sf_dir, "documents"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2_url_filter takes from the rules alone: page_id, host, path, rule."""
+    return op2_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed columns of op3_quality_rules."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def class_lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed columns of op10_class_lm; the base score is rounded."""
+    return op10_class_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    named = (op1_near_dedup, op2_url_filter, op3_quality_rules, op4_suffix_repeats, op5_decontaminate, op6_line_dedup, op7_language_id, op8_piece_bpe, op9_toxicity, op10_class_lm, url_rules, quality_base, class_lm_base)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles as O
+
+    return {"op1_near_dedup": O.NEAR_DEDUP, "op4_suffix_repeats": O.SUFFIX_REPEATS, "op6_line_dedup": O.LINE_DEDUP, "url_rules": O.url_rules(RULES), "quality_base": O.QUALITY_BASE, "class_lm_base": O.CLASS_LM_BASE}
