@@ -1,13 +1,18 @@
 """Scores texts by a Brown class-based bigram model, and by a smoothed unigram base.
 
-Words fall into classes. Exchange clustering moves each of the ``TOP`` most
-frequent words to the class where the likelihood of the class bigrams gains
-most, until nothing moves; their bigram counts have a proven bound of
-(TOP + 2) ** 2, whatever the corpus. Every other word of the vocabulary then
-goes, by the same criterion over all its occurrences, to one of as many further
-classes. A text's score adds up class transitions and word emissions; absolute
-discounting leaves mass in each class for words that training hasn't seen,
-which count as one type, as in the base.
+Words fall into classes by exchange clustering: a word moves to the class where
+the likelihood of the class bigrams gains most. It starts with the ``TOP`` most
+frequent words, one at a time in the driver until nothing moves (their bigram
+counts have a proven bound of (TOP + 2) ** 2, whatever the corpus), by whose
+classes all others are placed. Then the whole vocabulary takes part, in parallel
+rounds: each chunk of texts counts the classes before and after each of its
+words, each bucket of the vocabulary adds up its words' counts and moves them
+by the gain under the class bigrams of the round, which are counted anew over
+all words; frequent words move every other round, so that they don't chase each
+other. It ends when under ``STILL`` of all tokens are in words that moved, or
+after ``rounds`` rounds. A text's score adds up class transitions and word
+emissions; absolute discounting leaves mass in each class for words that
+training hasn't seen, which count as one type, as in the base.
 
 The vocabulary grows with the corpus and is never broadcast. Chunks of texts
 ask for their distinct words, buckets of the vocabulary (by hash) gather counts
@@ -28,10 +33,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._blobs import chunked, columns, pack, split, unpack
-from ._store import drop_table, table
+from ._store import drop_table, release, table
 from ._text import U64, doc_of, prefix_hash, span_hash
 
-TOP, CLASSES = 1024, 64
+TOP, CLASSES = 1024, 64  # classes of the most frequent words at first, and as many of others; then all are open to all
+STILL = 0.01
 CHUNK_BYTES = (1 << 22) - 16
 END, STATES, UNSEEN = 2 * CLASSES, 2 * CLASSES + 1, 255
 
@@ -78,32 +84,61 @@ def exchange(n: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     return g[:m]
 
 
-def _association(n: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pointwise mutual information of (state before, class) and (class, state after); states: classes, other words, end."""
-    s = CLASSES + 2
-    cls = np.concatenate([g, [CLASSES, CLASSES + 1]])
-    one = np.zeros((len(n), s))
-    one[np.arange(len(n)), cls] = 1
-    c = one.T @ n.astype(np.float64) @ one
+def bucket_of(h: np.ndarray, nb: int) -> np.ndarray:
+    """Buckets in the order of hashes, so that sorted words are sorted by bucket."""
+    return (((h >> U64(32)) * U64(nb)) >> U64(32)).astype(np.int64)
+
+
+def contexts(flat: np.ndarray, mine: np.ndarray, state: np.ndarray, states: int, end: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word how many (side, state) entries it has, the entries (side * states + state) and their counts, over the marked tokens."""
+    before, after = np.append(end, state[:-1]), np.append(state[1:], end)
+    w = flat[mine].astype(np.int64) * (2 * states)
+    key, times = np.unique(np.concatenate([w + before[mine], w + states + after[mine]]), return_counts=True)
+    return np.bincount(key // (2 * states), minlength=words), key % (2 * states), times
+
+
+def gains(word: np.ndarray, code: np.ndarray, times: np.ndarray, n_words: int, table: np.ndarray) -> np.ndarray:
+    """(words, classes): each word's sum over its entries of ``table``'s rows."""
+    states2 = len(table)
+    key, inv = np.unique(word * states2 + code, return_inverse=True)
+    times = np.bincount(inv.ravel(), times)
+    word, code = key // states2, key % states2
+    out = np.zeros((n_words, table.shape[1]), np.float32)
+    for a in range(0, len(key), 100_000):
+        w = word[a : a + 100_000]
+        cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        out[w[cut]] += np.add.reduceat(table[code[a : a + 100_000]] * times[a : a + 100_000, None].astype(np.float32), cut)
+    return out
+
+
+def _mutual(c: np.ndarray, classes: int) -> np.ndarray:
+    """(2 * states, classes): log ratios of class bigrams to chance, for a class after a state and for a state after a class."""
     total = c.sum() + 1
     row, col = c.sum(1) + 0.5, c.sum(0) + 0.5
     pmi = np.log((c + 0.5 * np.outer(row, col) / total + 1e-9) / np.outer(row, col) * total)
-    used = np.bincount(g, minlength=CLASSES) > 0
-    before, after = pmi[:, :CLASSES].copy(), pmi[:CLASSES].T.copy()
-    before[:, ~used] = -50.0
-    return before.astype(np.float32), after.astype(np.float32)
+    empty = c.sum(1)[:classes] == 0
+    table = np.vstack([pmi[:, :classes], pmi[:classes].T])
+    table[:, empty] = -50.0
+    return table.astype(np.float32)
+
+
+def _class_bigrams(n: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Bigrams of states from those of words; states: classes, other words, end."""
+    one = np.zeros((len(n), CLASSES + 2))
+    one[np.arange(len(n)), np.concatenate([g, [CLASSES, CLASSES + 1]])] = 1
+    return one.T @ n.astype(np.float64) @ one
 
 
-def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None, rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out``: a boolean column, texts that aren't learned from; by default crc32 of the id's text mod 7 = 2.
-    ``buckets``: shares of the vocabulary; four times spark.sql.shuffle.partitions if None.
+    ``buckets``: shares of the vocabulary; as many as chunks of texts if None. ``rounds``: most parallel rounds of exchange.
     """
     spark = df.sparkSession
     ship(spark)
     sc = spark.sparkContext
-    nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(df.dtypes)[doc_id]
     if held_out is None:
         held_out = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 7 == 2
@@ -123,13 +158,17 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
     src = df.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     parts, p_parts = table(src.mapInArrow(tokens, f"chunk long, held binary, first binary, flat binary, hashes binary, n binary, ids array<{kind}>"), "tokens", codec="uncompressed")
 
+    nb = buckets or max(32, parts.count())
+    # tasks' shares stay as they are, however many there are
+    spread = lambda d, key: d.repartition(nb // 4, key) if nb // 4 > usual else d
+
     # 2: size of the vocabulary, and the most frequent words
     def ask_counts(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 h, n = np.frombuffer(row["hashes"], U64), unpack(row["n"], np.int32)
                 h, n = h[n > 0], n[n > 0]
-                rows = [(b, h[i].tobytes(), pack(n[i])) for b, i in split((h % U64(nb)).astype(np.int64))]
+                rows = [(b, h[i].tobytes(), pack(n[i])) for b, i in split(bucket_of(h, nb))]
                 yield columns(True, bucket=([r[0] for r in rows], i32), hashes=([r[1] for r in rows], binary), n=([r[2] for r in rows], binary))
 
     def count(t: pa.Table) -> pa.Table:
@@ -140,7 +179,7 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
         sums = [len(u), int(n.sum()), int((n == 1).sum()), int((n == 2).sum())]
         return columns(hash=([0] * 4 + u[top].view(np.int64).tolist(), i64), n=(sums + n[top].tolist(), i64), what=([0, 1, 2, 3] + [4] * len(top), i32))
 
-    counted, p_counted = table(parts.select("hashes", "n").mapInArrow(ask_counts, "bucket int, hashes binary, n binary").groupBy("bucket").applyInArrow(count, "hash long, n long, what int"), "counts")
+    counted, p_counted = table(spread(parts.select("hashes", "n").mapInArrow(ask_counts, "bucket int, hashes binary, n binary"), "bucket").groupBy("bucket").applyInArrow(count, "hash long, n long, what int"), "counts")
     sums = {r.what: int(r.n) for r in counted.where("what < 4").groupBy("what").agg(F.sum("n").alias("n")).collect()}
     ends = int(src.where(~F.col("held_out")).count())
     types, total = sums.get(0, 0) + (ends > 0), sums.get(1, 0) + ends
@@ -188,131 +227,173 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
     back = np.empty(m, np.int64)
     back[np.argsort(-top_n, kind="stable")] = cls_top
     cls_top = back
-    model = sc.broadcast((top_hash, top_n, cls_top, *_association(bigrams, cls_top)))
+    model = sc.broadcast((top_hash, cls_top, _mutual(_class_bigrams(bigrams, cls_top), CLASSES)))
+
+    # 4: counts of all words, and classes of all others, by bucket
+    def entries(chunk: int, h: np.ndarray | None, n: np.ndarray | None, bucket: np.ndarray, made) -> pa.RecordBatch:
+        """A chunk's words (sorted by hash) with their contexts, cut by bucket."""
+        k, code, times = made
+        start = np.concatenate([[0], np.cumsum(k)])
+        cut = np.searchsorted(bucket, np.arange(nb + 1))
+        some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+        parts_ = [(b, slice(cut[b], cut[b + 1]), slice(start[cut[b]], start[cut[b + 1]])) for b in some]
+        cols = dict(bucket=(some, i32), chunk=([chunk] * len(some), i64), k=([pack(k[i].astype(np.int32)) for _, i, _ in parts_], binary), code=([pack(code[j].astype(np.uint16)) for _, _, j in parts_], binary), times=([pack(times[j].astype(np.int32)) for _, _, j in parts_], binary))
+        if h is not None:
+            cols |= dict(hashes=([h[i].tobytes() for _, i, _ in parts_], binary), n=([pack(n[i]) for _, i, _ in parts_], binary))
+        return columns(True, **cols)
 
-    # 4: classes and counts of all other words, by bucket
     def ask(batches):
-        known, _, g, _, _ = model.value
+        known, g, _ = model.value
         for batch in batches:
             for row in batch.to_pylist():
                 flat, train = learned(row)
                 h, n = np.frombuffer(row["hashes"], U64), unpack(row["n"], np.int32)
                 at = place(h, known)
-                state = np.append(np.append(g, CLASSES)[at], CLASSES + 1)[flat].astype(np.int32)
+                state = np.append(np.append(g, CLASSES)[at], CLASSES + 1)[flat]
                 rare = np.append(at == m, False)[flat] & train
-                around = np.concatenate([[CLASSES + 1], state[:-1]]) * (CLASSES + 2) + np.concatenate([state[1:], [CLASSES + 1]])
-                w, around = flat[rare], around[rare]
-                order = np.argsort(w, kind="stable")
-                around = around[order].astype(np.uint16)
-                start = np.concatenate([[0], np.cumsum(np.where(at == m, n, 0))])
-                rows = []
-                mine = np.flatnonzero(at == m)
-                for b, i in split((h[mine] % U64(nb)).astype(np.int64)):
-                    j = mine[i]
-                    size = n[j].astype(np.int64)
-                    take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[j], size)
-                    rows.append((b, h[j].tobytes(), pack(n[j]), pack(around[take])))
-                yield columns(True, bucket=([r[0] for r in rows], i32), chunk=([row["chunk"]] * len(rows), i64), hashes=([r[1] for r in rows], binary), n=([r[2] for r in rows], binary), around=([r[3] for r in rows], binary))
+                yield entries(row["chunk"], h, n, bucket_of(h, nb), contexts(flat, rare, state, CLASSES + 2, CLASSES + 1, len(h)))
+
+    def gathered(rows: list[dict], inv: list[np.ndarray], n_words: int, table: np.ndarray) -> np.ndarray:
+        k = [unpack(r["k"], np.int32) for r in rows]
+        word = np.concatenate([np.repeat(v, x) for v, x in zip(inv, k)])
+        code, times = (np.concatenate([unpack(r[c], t) for r in rows]).astype(np.int64) for c, t in (("code", np.uint16), ("times", np.int32)))
+        return gains(word, code, times, n_words, table)
+
+    def reply(rows: list[dict], inv: list[np.ndarray], n: np.ndarray, cls: np.ndarray, moved: np.ndarray) -> pa.Table:
+        known = n > 0
+        stat = np.concatenate([np.bincount(cls[known], minlength=STATES), np.bincount(cls, n, STATES).astype(np.int64), [n[moved].sum()]]).astype(np.int64)
+        out = [(r["chunk"], pack(n[v]), pack(cls[v].astype(np.uint8)), pack(np.diff(v, prepend=0).astype(np.int32))) for r, v in zip(rows, inv)] + [(-1, stat.tobytes(), b"", b"")]
+        return columns(chunk=([r[0] for r in out], i64), bucket=([rows[0]["bucket"]] * len(out), i32), n=([r[1] for r in out], binary), cls=([r[2] for r in out], binary), inv=([r[3] for r in out], binary))
 
     def answer(t: pa.Table) -> pa.Table:
-        before, after = model.value[3:]
-        hs = [np.frombuffer(x, U64) for x in t["hashes"].to_pylist()]
-        ns = np.concatenate([unpack(x, np.int32) for x in t["n"].to_pylist()]).astype(np.int64)
-        around = np.concatenate([unpack(x, np.uint16) for x in t["around"].to_pylist()])
+        top, g, table_ = model.value
+        rows = t.to_pylist()
+        hs = [np.frombuffer(r["hashes"], U64) for r in rows]
         u, inv = np.unique(np.concatenate(hs), return_inverse=True)
-        n = np.bincount(inv, ns).astype(np.int64)
-        word = np.repeat(inv, ns)
-        order = np.argsort(word, kind="stable")
-        word, around = word[order], around[order].astype(np.int64)
-        best = np.zeros(len(u), np.int64)
-        cut = np.concatenate([[0], np.cumsum(n)])
-        a = 0
-        while a < len(u):  # some words at a time: their contexts' gains in all classes
-            z = max(a + 1, int(np.searchsorted(cut, cut[a] + 50_000, "right")) - 1)
-            gain = np.zeros((z - a, CLASSES), np.float32)
-            for p in range(cut[a], cut[z], 200_000):
-                q = min(p + 200_000, cut[z])
-                x = before[around[p:q] // (CLASSES + 2)] + after[around[p:q] % (CLASSES + 2)]
-                w = word[p:q] - a
-                s = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                gain[w[s]] += np.add.reduceat(x, s)
-            best[a:z] = gain.argmax(axis=1)
-            a = z
-        best += CLASSES
-        known = n > 0
-        stat = np.concatenate([np.bincount(best[known], minlength=STATES), np.bincount(best, n, STATES)]).astype(np.int64)
-        c = np.cumsum([0, *map(len, hs)])
-        rows = [(k, pack(n[inv[a:z]].astype(np.int32)), pack(best[inv[a:z]].astype(np.uint8))) for k, a, z in zip(t["chunk"].to_pylist(), c, c[1:])]
-        rows.append((-1, stat.tobytes(), b""))
-        return columns(chunk=([r[0] for r in rows], i64), bucket=([t["bucket"][0].as_py()] * len(rows), i32), n=([r[1] for r in rows], binary), cls=([r[2] for r in rows], binary))
+        inv = np.split(inv.ravel(), np.cumsum([len(x) for x in hs])[:-1])
+        n = np.bincount(np.concatenate(inv), np.concatenate([unpack(r["n"], np.int32) for r in rows]), len(u)).astype(np.int64)
+        at = place(u, top)
+        cls = np.where(at < m, np.append(g, 0)[at], CLASSES + gathered(rows, inv, len(u), table_).argmax(axis=1))
+        return reply(rows, inv, n, cls, n > 0)
 
-    asked = parts.select("chunk", "flat", "first", "held", "hashes", "n").mapInArrow(ask, "bucket int, chunk long, hashes binary, n binary, around binary")
-    told, p_told = table(asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n binary, cls binary"), "classes", codec="uncompressed")
+    asked = parts.select("chunk", "flat", "first", "held", "hashes", "n").mapInArrow(ask, "bucket int, chunk long, k binary, code binary, times binary, hashes binary, n binary")
+    kinds = "chunk long, bucket int, n binary, cls binary, inv binary"
+    told, p_told = table(spread(asked, "bucket").groupBy("bucket").applyInArrow(answer, kinds), "classes", codec="uncompressed")
+
+    def classes_of(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and classes of a chunk's words, in order."""
+        rows = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        return tuple(np.concatenate([unpack(r[c], t) for r in rows] or [np.empty(0, t)]).astype(np.int64) for c, t in (("n", np.int64), ("cls", np.uint8)))
 
     def add_stats(batches):
-        s = np.zeros(2 * STATES, np.int64)
+        s = np.zeros(2 * STATES + 1, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 s += np.frombuffer(x, np.int64)
         yield columns(True, at=(np.arange(len(s)), i64), n=(s, i64))
 
-    stat = np.zeros(2 * STATES, np.int64)
-    for r in told.where("chunk = -1").select("n").mapInArrow(add_stats, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        stat[r["at"]] = r["n"]
-    class_types, class_tokens = stat[:STATES], stat[STATES:].astype(np.float64)
-    class_tokens[:CLASSES] += np.bincount(cls_top, top_n, CLASSES)
+    def add_moves(batches):
+        s = np.zeros(STATES**2, np.int64)
+        for batch in batches:
+            for a, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s[np.frombuffer(a, np.int32)] += np.frombuffer(n, np.int64)
+        k = np.flatnonzero(s)
+        yield columns(True, move=(k, i64), n=(s[k], i64))
+
+    def transitions(rows: DataFrame) -> np.ndarray:
+        """Class bigrams from (moves, times) rows."""
+        c = np.zeros(STATES**2)
+        for r in rows.mapInArrow(add_moves, "move long, n long").groupBy("move").agg(F.sum("n").alias("n")).toLocalIterator():  # at most STATES ** 2
+            c[r["move"]] = r["n"]
+        return c.reshape(STATES, STATES)
+
+    def statistics(told: DataFrame) -> np.ndarray:
+        stat = np.zeros(2 * STATES + 1, np.int64)
+        for r in told.where("chunk = -1").select("n").mapInArrow(add_stats, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            stat[r["at"]] = r["n"]
+        return stat
+
+    def moves_of(seq: np.ndarray, train: np.ndarray) -> tuple[bytes, bytes]:
+        two = (np.append(END, seq[:-1]) * STATES + seq)[train]
+        moves, times = np.unique(two[seq[train] != UNSEEN], return_counts=True)
+        return moves.astype(np.int32).tobytes(), times.astype(np.int64).tobytes()
+
+    # 5: rounds of exchange over the whole vocabulary
+    def contexts_again(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A chunk's contexts under the classes so far, and its class bigrams (bucket -1)."""
+        row = left.to_pylist()[0]
+        flat, train = learned(row)
+        state = np.append(classes_of(right)[1], END)[flat]
+        size = {r["bucket"]: len(unpack(r["cls"], np.uint8)) for r in right.to_pylist()}
+        bucket = np.repeat(sorted(size), [size[b] for b in sorted(size)]).astype(np.int64)
+        made = pa.Table.from_batches([entries(row["chunk"], None, None, bucket, contexts(flat, train & (flat < len(bucket)), state, STATES, END, len(bucket)))])
+        a, n = moves_of(state, train)
+        return pa.concat_tables([made, columns(bucket=([-1], i32), chunk=([row["chunk"]], i64), k=([b""], binary), code=([a], binary), times=([n], binary))])
+
+    def exchange_round(turn: int, shared):
+        def move(left: pa.Table, right: pa.Table) -> pa.Table:
+            before, rows = {r["chunk"]: r for r in left.to_pylist()}, right.to_pylist()
+            inv = [np.cumsum(unpack(before[r["chunk"]]["inv"], np.int32)) for r in rows]
+            size = 1 + max((int(v.max()) for v in inv if len(v)), default=-1)
+            n, cls = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for r, v in zip(rows, inv):
+                n[v], cls[v] = unpack(before[r["chunk"]]["n"], np.int64), unpack(before[r["chunk"]]["cls"], np.uint8)
+            gain = gathered(rows, inv, size, shared.value)
+            best = gain.argmax(axis=1)
+            at = np.arange(size)
+            go = (gain[at, best] > gain[at, cls] + 1e-3) & (n > 0) & ((n * 10_000 < total) | ((at + turn) % 2 == 0))
+            return reply(rows, inv, n, np.where(go, best, cls), go)
+
+        return move
+
+    for turn in range(rounds):
+        near = spread(parts.select("chunk", "flat", "first", "held"), "chunk").groupBy("chunk").cogroup(spread(told.where("chunk >= 0"), "chunk").groupBy("chunk"))
+        near, p_near = table(near.applyInArrow(contexts_again, "bucket int, chunk long, k binary, code binary, times binary"), "contexts", codec="uncompressed")
+        c = transitions(near.where("bucket = -1").select(F.col("code").alias("moves"), "times"))
+        shared = sc.broadcast(_mutual(c, END))  # 2 * STATES rows of END numbers
+        both = spread(told.where("chunk >= 0"), "bucket").groupBy("bucket").cogroup(spread(near.where("bucket >= 0"), "bucket").groupBy("bucket"))
+        told, p_next = table(both.applyInArrow(exchange_round(turn, shared), kinds), "classes", codec="uncompressed")
+        drop_table(spark, p_near)
+        drop_table(spark, p_told)
+        p_told = p_next
+        release(spark)
+        if statistics(told)[-1] < STILL * total:
+            break
+
+    stat = statistics(told)
+    class_types, class_tokens = stat[:STATES], stat[STATES : 2 * STATES].astype(np.float64)
     class_tokens[END] = ends
     safe = np.where(class_tokens > 0, class_tokens, 1)
-    unseen = np.where(np.arange(STATES) >= CLASSES, d * class_types / safe, 0.0)  # mass for unseen words
+    unseen = d * class_types / safe  # mass for unseen words
     size = sc.broadcast((safe, d, total, types, ends))
 
-    # 5: each chunk's tokens as classes; sums that need no transitions
+    # 6: each chunk's tokens as classes; sums that need no transitions
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, known_n, g, _, _ = model.value
         safe, d, total, types, ends = size.value
         row = left.to_pylist()[0]
         flat, train = learned(row)
-        h = np.frombuffer(row["hashes"], U64)
-        at = place(h, known)
-        n = np.append(np.append(known_n, 0)[at], ends)
-        cls = np.append(np.append(g, UNSEEN)[at], END)
-        mine = np.flatnonzero(at == m)
-        got = {r["bucket"]: r for r in right.to_pylist()}
-        for b, i in split((h[mine] % U64(nb)).astype(np.int64)):
-            n[mine[i]] = unpack(got[b]["n"], np.int32)
-            cls[mine[i]] = unpack(got[b]["cls"], np.uint8)
+        n, cls = classes_of(right)
+        n, cls = np.append(n, ends), np.append(cls, END)
         cls[n == 0] = UNSEEN
         base = np.log10((n + 1) / (total + types + 1))
-        less = np.where((cls >= CLASSES) & (cls < END), d, 0.0)
+        less = np.where(cls < END, d, 0.0)
         with np.errstate(divide="ignore"):
             emit = np.where(n > 0, np.log10(np.maximum(n - less, 1e-9) / safe[np.minimum(cls, END)]), 0.0)
         first = unpack(row["first"], np.int32)[:-1]
         seq = cls[flat].astype(np.int64)
-        two = (np.concatenate([[END], seq[:-1]]) * STATES + seq)[train]
-        moves, times = np.unique(two[(seq[train] != UNSEEN)], return_counts=True)
+        moves, times = moves_of(seq, train)
         docs = lambda x: pack(np.add.reduceat(x[flat], first))
         return columns(
             ids=([row["ids"]], left.schema.field("ids").type), held=([row["held"]], binary), first=([row["first"]], binary), seq=([pack(seq.astype(np.uint8))], binary),
-            known=([docs((n > 0).astype(np.int64))], binary), base=([docs(base)], binary), emit=([docs(emit)], binary), moves=([moves.astype(np.int32).tobytes()], binary), times=([times.astype(np.int64).tobytes()], binary),
+            known=([docs((n > 0).astype(np.int64))], binary), base=([docs(base)], binary), emit=([docs(emit)], binary), moves=([moves], binary), times=([times], binary),
         )
 
-    final, p_final = table(parts.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInArrow(apply, f"ids array<{kind}>, held binary, first binary, seq binary, known binary, base binary, emit binary, moves binary, times binary"), "scored", codec="uncompressed")
+    final, p_final = table(spread(parts.select("chunk", "ids", "flat", "first", "held"), "chunk").groupBy("chunk").cogroup(spread(told.where("chunk >= 0"), "chunk").groupBy("chunk")).applyInArrow(apply, f"ids array<{kind}>, held binary, first binary, seq binary, known binary, base binary, emit binary, moves binary, times binary"), "scored", codec="uncompressed")
     drop_table(spark, p_told)
     drop_table(spark, p_parts)
 
-    # 6: transitions between classes
-    def add_moves(batches):
-        s = np.zeros(STATES**2, np.int64)
-        for batch in batches:
-            for a, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s[np.frombuffer(a, np.int32)] += np.frombuffer(n, np.int64)
-        k = np.flatnonzero(s)
-        yield columns(True, move=(k, i64), n=(s[k], i64))
-
-    c = np.zeros(STATES**2)
-    for r in final.select("moves", "times").mapInArrow(add_moves, "move long, n long").groupBy("move").agg(F.sum("n").alias("n")).toLocalIterator():
-        c[r["move"]] = r["n"]
-    c = c.reshape(STATES, STATES)
+    # 7: transitions between classes
+    c = transitions(final.select("moves", "times"))
     prior = (c.sum(0) + 1e-3) / (c.sum() + 1e-3 * STATES)
     p = (c + 20 * prior) / (c.sum(1, keepdims=True) + 20)
     new = unseen * class_tokens

@@ -132,3 +132,29 @@ def test_long_words_like_the_library():
     began = time.time()
     ((ids, _),) = encode_texts(load(path), [t.encode()], Cache())
     assert time.time() - began < 120 and ids.count(",") > 100_000
+
+
+def test_contexts_and_gains_by_brute_force():
+    """Counts of the states around words, and the gain of a word in each class as the change of mutual information."""
+    from millrace.llm.class_lm import bucket_of, contexts, gains
+
+    r = np.random.default_rng(2)
+    words, states, end = 9, 5, 4
+    flat = r.integers(0, words + 1, 200)  # the last number is a text's end
+    flat[-1] = words
+    state = np.append(r.integers(0, 4, words), end)[flat]
+    mine = (flat < words) & (r.random(200) < 0.8)
+    want = collections.Counter()
+    for i in np.flatnonzero(mine).tolist():
+        want[flat[i], state[i - 1] if i else end] += 1
+        want[flat[i], states + state[i + 1]] += 1
+    k, code, times = contexts(flat, mine, state, states, end, words)
+    who = np.repeat(np.arange(words), k)
+    assert dict(zip(zip(who.tolist(), code.tolist()), times.tolist())) == want
+    table = r.normal(size=(2 * states, 4)).astype(np.float32)
+    twice = gains(np.append(who, who), np.append(code, code), np.append(times, times), words, table)
+    for w in range(words):
+        assert np.allclose(twice[w], 2 * sum(n * table[c] for (v, c), n in want.items() if v == w), atol=1e-3)
+    h = np.sort(r.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    b = bucket_of(h, 7)
+    assert (np.diff(b) >= 0).all() and b.min() == 0 and b.max() == 6
