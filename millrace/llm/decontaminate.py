@@ -199,7 +199,9 @@ def count_seeds(df: DataFrame, items: Items, text: str = "text") -> dict[int, in
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, least: float = 0.5, text: str = "text", keep_all: bool = False) -> DataFrame:
-    """The clean rows of ``df``; with ``keep_all`` all rows, with the best match as ``match`` and ``contaminated``."""
+    """The clean rows of ``df``; with ``keep_all`` all rows, with the best match as ``match`` and ``contaminated`` (which replace columns of these names)."""
+    if keep_all:
+        df = df.drop(*{"match", "contaminated"} - {text})
     ship(df.sparkSession)
     out = df.withColumn("__mr_match", F.lit(0.0))
     schema = out.schema
