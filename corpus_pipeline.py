@@ -1,4 +1,12 @@
-"""A training corpus from raw documents: quality, line and near-duplicate filters, decontamination, token ids."""
+"""A training corpus from raw documents: quality, line and near-duplicate filters, decontamination, token ids.
+
+Defined results, for every stage: null and empty texts fail the quality rules; no
+other stage removes them. Of rows that are equal in id and text, all stay or all
+go, as they are one document to each stage. Near-duplicates are told apart by id:
+rows of one id go together, whatever their texts; a row without an id is
+compared with nothing and stays. Extra columns pass through the filters (n_chars
+is set anew where lines go). An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +32,7 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, and documents that lose all their words."""
     return line_dedup(docs)
 
 
@@ -34,10 +43,12 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an exact or edited item of ``benchmark`` go."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and digests of every document that is left."""
     import public_tokenizers
 
     return piece_bpe(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True)
@@ -50,6 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs, _ = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
