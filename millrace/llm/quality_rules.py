@@ -4,10 +4,12 @@ The model is an order-4 modified Kneser-Ney model over characters (letters of
 any script; ASCII signs, digits, capitals and blanks are one symbol each, so
 that noise of one sign is as unlikely as that of another), counted by Spark over all documents: n-gram counts for the
 highest order, continuation counts for the lower ones, discounts from the counts
-of counts. It is kept as sorted arrays of 64-bit n-gram hashes, which lookups
-search by bisection. So that these may be broadcast at any size of corpus, each
-order keeps its at most ``MAX_GRAMS`` most frequent n-grams; what others had goes
-to the lower order of their context, so probabilities still add up to one.
+of counts. A corpus of at most ``MAX_GRAMS`` distinct n-grams has its model
+broadcast, as sorted arrays of 64-bit n-gram hashes, which lookups search by
+bisection. Of a larger one nothing is cut either: the orders are joined to the
+probability of each n-gram, the most frequent ones (at most ``MAX_GRAMS``) are
+broadcast, and chunks of texts ask for all others, once a chunk, in tasks that
+the hashes name. Both ways give the same scores.
 Documents whose log-perplexity lies outside the band of their language are
 rejected. A band is the language's quartiles, widened by a multiple of their
 distance, the more the fewer they are drawn from; quartiles come from histograms
@@ -29,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._blobs import chunked, columns, pack, split, unpack
 from ._store import drop_table, table
-from ._text import Block, blocks, combine, doc_of, mix, prefix_hash, span_hash, sums_by, U64
+from ._text import BLOCK_BYTES, Block, blocks, combine, doc_of, mix, prefix_hash, span_hash, sums_by, U64
 
 ORDER = 4
-#: Most n-grams of each order in the model (16 bytes each, with their contexts at most twice that).
+#: Most n-grams of each order that are broadcast (16 bytes each, with their contexts at most twice that); the rest is asked for.
 MAX_GRAMS = 1 << 20
 #: Bands of n documents are (1 + SMALL / n) times as wide: of normally distributed values, under 1 % then lie outside whatever n.
 SMALL = 8
@@ -188,23 +191,41 @@ def count_grams(df: DataFrame, text: str = "text") -> DataFrame:
     return out.groupBy(*_COLS).agg(F.sum("n").alias("n"))
 
 
-def fit_model(df: DataFrame, text: str = "text", max_grams: int = MAX_GRAMS) -> KneserNey:
-    """Counts with Spark; at most ``max_grams`` rows of each order reach the driver."""
-    spark = df.sparkSession
-    grams, path = table(count_grams(df, text), "grams")
-    model, levels = KneserNey(), [grams]
+def _levels(grams: DataFrame) -> list[DataFrame]:
+    """Counts of the n-grams of each order, the highest first."""
+    levels = [grams]
     for k in range(1, ORDER):  # continuation counts: how many characters come before an n-gram
         levels.append(levels[-1].groupBy(*_COLS[k:]).agg(F.count("*").alias("n")))
+    return levels
+
+
+def _times(g: DataFrame) -> dict[int, int]:
+    """The counts of counts, exact up to 1,000, then by powers of 2: few rows whatever the corpus."""
+    grade = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.expr("shiftleft(1L, CAST(floor(log2(n)) AS INT))"))
+    return {int(r["grade"]): r["times"] for r in g.groupBy(grade.alias("grade")).agg(F.count("*").alias("times")).collect()}
+
+
+def _least(times: dict[int, int], most: int) -> int | None:
+    """The smallest count that at most ``most`` n-grams reach; None if there is none."""
+    least, kept = None, 0
+    for c in sorted(times, reverse=True):
+        if kept + times[c] > most:
+            break
+        least, kept = c, kept + times[c]
+    return least
+
+
+def _discounts(times: dict[int, int]) -> np.ndarray:
+    return KneserNey.discounts(*(float(times.get(i, 0)) for i in (1, 2, 3, 4)))
+
+
+def _model(grams: DataFrame, max_grams: int) -> KneserNey:
+    """The model with at most ``max_grams`` n-grams of each order, the most frequent ones; the share of others goes to the lower order."""
+    model, levels = KneserNey(), _levels(grams)
     for k in reversed(range(ORDER)):
         g, cols = levels[k], _COLS[k:]
-        # the counts of counts, exact up to 1,000, then by powers of 2: few rows whatever the corpus
-        grade = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.expr("shiftleft(1L, CAST(floor(log2(n)) AS INT))"))
-        times = {int(r["grade"]): r["times"] for r in g.groupBy(grade.alias("grade")).agg(F.count("*").alias("times")).collect()}
-        least, kept = None, 0
-        for c in sorted(times, reverse=True):
-            if kept + times[c] > max_grams:
-                break
-            least, kept = c, kept + times[c]
+        times = _times(g)
+        least = _least(times, max_grams)
         if least is None:
             model.add(np.empty((0, ORDER - k), np.uint32), np.empty(0, np.int64), np.empty(0), np.zeros(4))
             continue
@@ -212,11 +233,57 @@ def fit_model(df: DataFrame, text: str = "text", max_grams: int = MAX_GRAMS) ->
         some = g.where(F.col("n") >= least)
         t = (some.join(total, cols[:-1]) if cols[:-1] else some.crossJoin(F.broadcast(total))).toArrow()  # one row
         rows = np.stack([t[c].to_numpy().view(np.uint32) for c in cols], 1)
-        model.add(rows, t["n"].to_numpy(), t["total"].to_numpy().astype(np.float64), KneserNey.discounts(*(float(times.get(i, 0)) for i in (1, 2, 3, 4))))
-    drop_table(spark, path)
+        model.add(rows, t["n"].to_numpy(), t["total"].to_numpy().astype(np.float64), _discounts(times))
+    return model
+
+
+def fit_model(df: DataFrame, text: str = "text", max_grams: int = MAX_GRAMS) -> KneserNey:
+    """Counts with Spark; at most ``max_grams`` rows of each order reach the driver. Whole if there are no more; :func:`quality_rules` uses no other."""
+    grams, path = table(count_grams(df, text), "grams")
+    model = _model(grams, max_grams)
+    drop_table(df.sparkSession, path)
     return model
 
 
+def gram_logs(grams: DataFrame) -> tuple[DataFrame, float]:
+    """(h, n, log): hash, count and log-probability of every n-gram of the highest order, nothing cut, by joins of the orders.
+
+    Also the log-probability of a null text's only n-gram, which may have no row: line feeds.
+    """
+    p, blank = None, UNIFORM
+    for k, g in reversed(list(enumerate(_levels(grams)))):
+        cols, n = _COLS[k:], F.col("n")
+        d = _discounts(_times(g)).tolist()
+        mine = n - F.when(n == 1, d[1]).when(n == 2, d[2]).otherwise(d[3])
+        sums = [F.sum("n").alias("total"), (d[1] * F.count_if(n == 1) + d[2] * F.count_if(n == 2) + d[3] * F.count_if(n > 2)).alias("cut")]
+        t = g.join(g.groupBy(*cols[:-1]).agg(*sums), cols[:-1]) if cols[:-1] else g.crossJoin(F.broadcast(g.agg(*sums)))  # one row
+        t = t.withColumn("lower", F.lit(UNIFORM)) if p is None else t.join(p, cols[1:])
+        p = t.select(*cols, *["n"] * (k == 0), ((mine + F.col("cut") * F.col("lower")) / F.col("total")).alias("lower"))
+        r = g.where(F.expr(" AND ".join(f"{c} = 10" for c in cols[:-1]) or "true")).agg(*sums, F.sum(F.when(F.col(cols[-1]) == 10, mine)).alias("mine")).first()
+        blank = ((r["mine"] or 0) + r["cut"] * blank) / r["total"] if r["total"] else blank
+
+    def hashed(batches):
+        for t in batches:
+            h = gram_hash(np.stack([t.column(c).to_numpy().view(np.uint32) for c in _COLS], 1))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), t.column("n"), pa.array(np.log(np.maximum(t.column("lower").to_numpy(), 1e-12)))], ["h", "n", "log"])
+
+    return p.mapInArrow(hashed, "h long, n long, log double"), float(np.log(max(blank, 1e-12)))
+
+
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _scored(ids: pa.Array, langs: pa.Array, base: list[np.ndarray], ppl: np.ndarray) -> pa.RecordBatch:
+    words, repeated = base[0], base[4]
+    failed = (words < 50) | (100 * repeated > 50 * words)
+    return pa.RecordBatch.from_arrays([ids, langs, *[pa.array(v.astype(np.int64)) for v in base], pa.array(failed), pa.array(ppl)], ["doc_id", "lang", *_BASE, "base_failed", "log_ppl"])
+
+
+def _score_schema(df: DataFrame, doc_id: str, lang: str) -> str:
+    kind = dict(df.dtypes)
+    return f"doc_id {kind[doc_id]}, lang {kind[lang]}, {', '.join(f'{c} long' for c in _BASE)}, base_failed boolean, log_ppl double"
+
+
 def quality_scores(df: DataFrame, model: KneserNey, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, lang, the base columns, base_failed and log_ppl of every text."""
     ship(df.sparkSession)
@@ -230,14 +297,78 @@ def quality_scores(df: DataFrame, model: KneserNey, doc_id: str = "doc_id", text
                 w = windows(sym, first)
                 at, inv = distinct(w)
                 logs = np.log(np.maximum(shared.value.prob(w[at]), 1e-12))
-                ppl = -sums_by(logs[inv], first) / np.diff(first)
-                failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(v.astype(np.int64)) for v in base.values()], pa.array(failed), pa.array(ppl)], ["doc_id", "lang", *base, "base_failed", "log_ppl"])
+                yield _scored(part.column(0), part.column(1), [base[c] for c in _BASE], -sums_by(logs[inv], first) / np.diff(first))
+
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(score, _score_schema(df, doc_id, lang))
+
 
+def large_scores(df: DataFrame, grams: DataFrame, max_grams: int = MAX_GRAMS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[str]]:
+    """As :func:`quality_scores`, from the counts of any number of n-grams; also the paths of tables to drop.
+
+    A chunk of texts adds up what the ``max_grams`` most frequent n-grams give. Of the others it keeps which text has
+    which, and asks for each once; a task has the questions and n-grams of one bucket of hashes at a time.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    logs, blank = gram_logs(grams)
+    logs, p1 = table(logs, "logs")
+    least = _least(_times(logs), max_grams)
+    head = logs.where(F.col("n") >= least if least else F.lit(False)).select("h", "log").toArrow()
+    key = head["h"].to_numpy().view(U64)
+    by = np.argsort(key)
+    shared = spark.sparkContext.broadcast((key[by], head["log"].to_numpy()[by]))
     kind = dict(df.dtypes)
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(
-        score, f"doc_id {kind[doc_id]}, lang {kind[lang]}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
-    )
+    i64, binary = pa.int64(), pa.binary()
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+    def prepare(batches):
+        for number, b, (ids, langs) in chunked(batches, BLOCK_BYTES):
+            base = base_rules(b)
+            sym, first = characters(b)
+            w = windows(sym, first)
+            at, inv = distinct(w)
+            h = gram_hash(w[at])
+            log = np.where((w[at] == 10).all(1), blank, _look(*shared.value, h, np.nan))
+            rare = np.isnan(log)
+            known = sums_by(np.where(rare, 0.0, log)[inv], first)
+            i = np.flatnonzero(rare[inv])
+            blobs = dict(base=pack(np.stack([base[c] for c in _BASE]).astype(np.int64)), chars=pack(np.diff(first).astype(np.int64)), known=pack(known), doc=pack((np.searchsorted(first, i, "right") - 1).astype(np.int32)), gram=pack((np.cumsum(rare) - 1)[inv[i]].astype(np.int32)), hashes=h[rare].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([number], i64), one(ids), one(langs), *(pa.array([x], binary) for x in blobs.values())], ["chunk", "ids", "langs", *blobs])
+
+    src = df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    parts, p2 = table(src.mapInArrow(prepare, f"chunk long, ids array<{kind[doc_id]}>, langs array<{kind[lang]}>, base binary, chars binary, known binary, doc binary, gram binary, hashes binary"), "parts", codec="uncompressed")
+    nb = max(32, parts.count() // 8)
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, hashes in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist()):
+                h = np.frombuffer(hashes, np.int64)
+                rows = [(k, h[i].tobytes()) for k, i in split(h % nb)]
+                yield columns(True, bucket=([r[0] for r in rows], i64), chunk=([chunk] * len(rows), i64), hashes=([r[1] for r in rows], binary))
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, log = right["h"].to_numpy(), right["log"].to_numpy()
+        by = np.argsort(key)
+        key, log = key[by], log[by]
+        found = [log[np.searchsorted(key, np.frombuffer(x, np.int64))].tobytes() for x in left["hashes"].to_pylist()]
+        return columns(chunk=(left["chunk"].to_pylist(), i64), hashes=(left["hashes"].to_pylist(), binary), logs=(found, binary))
+
+    asked = parts.select("chunk", "hashes").mapInArrow(ask, "bucket long, chunk long, hashes binary").groupBy("bucket")
+    rest = logs.where(F.col("n") < least if least else F.lit(True)).select(F.pmod("h", F.lit(nb)).alias("bucket"), "h", "log").groupBy("bucket")
+    told = asked.cogroup(rest).applyInArrow(answer, "chunk long, hashes binary, logs binary")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.drop_columns(["ids", "langs"]).to_pylist()
+        ids, langs = (left[c].combine_chunks().flatten() for c in ("ids", "langs"))
+        total, chars = unpack(row["known"], np.float64), unpack(row["chars"], np.int64)
+        if right.num_rows:
+            key, log = (np.concatenate([np.frombuffer(x, t) for x in right[c].to_pylist()]) for c, t in (("hashes", np.int64), ("logs", np.float64)))
+            by = np.argsort(key)
+            log = log[by][np.searchsorted(key[by], np.frombuffer(row["hashes"], np.int64))]
+            total = total + np.bincount(unpack(row["doc"], np.int32), log[unpack(row["gram"], np.int32)], minlength=len(total))
+        return pa.Table.from_batches([_scored(ids, langs, list(unpack(row["base"], np.int64).reshape(len(_BASE), -1)), -total / chars)])
+
+    return parts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, _score_schema(df, doc_id, lang)), [p1, p2]
 
 
 def bands(scores: DataFrame, width: float = 3.0) -> DataFrame:
@@ -250,10 +381,16 @@ def bands(scores: DataFrame, width: float = 3.0) -> DataFrame:
     return pairs.withColumns({"q1": at(0.25), "q3": at(0.75)}).select("lang", (F.col("q1") - far).alias("lower"), (F.col("q3") + far).alias("upper"))
 
 
-def quality_rules(df: DataFrame, width: float = 3.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document: doc_id, the base columns, base_failed, kept, log_ppl, lower, upper."""
-    model = fit_model(df, text)
-    scores, _ = table(quality_scores(df, model, doc_id, text, lang), "quality")
+def quality_rules(df: DataFrame, width: float = 3.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> DataFrame:
+    """One row per document: doc_id, the base columns, base_failed, kept, log_ppl, lower, upper. ``max_grams``: most n-grams of an order that are broadcast; results are the same."""
+    grams, path = table(count_grams(df, text), "grams")
+    if grams.count() <= max_grams:  # lower orders have no more
+        scores, paths = quality_scores(df, _model(grams, max_grams), doc_id, text, lang), []
+    else:
+        scores, paths = large_scores(df, grams, max_grams, doc_id, text, lang)
+    scores, _ = table(scores, "quality")
+    for p in (path, *paths):
+        drop_table(df.sparkSession, p)
     band = bands(scores, width).withColumnRenamed("lang", "_lang")
     out = scores.join(band, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     return out.select(

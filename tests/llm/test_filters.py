@@ -188,3 +188,27 @@ def test_scripts_are_told_apart(spark):
             odd.add(1000 * k + i)
     got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert {i for i, x in got.items() if not x.base_failed and not x.kept} == odd
+
+
+@pytest.mark.parametrize("most", [0, 60])
+def test_scores_of_the_whole_model(spark, most):
+    """However few n-grams are broadcast, every text is scored by all of them, as the formula does."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    scripts = ["etaoinshr  ", "привет мо ", "中文字语言。 ", "añéß üö "]
+    rows = [(i, "".join(r.choice(scripts[i % 4]) for _ in range(r.randint(0, 400))), ["en", "ru", "zh", None][i % 4]) for i in range(60)] + [(60, None, "en"), (61, "", None), (None, "etaoin " * 90, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {x.doc_id.i: x for x in quality_rules(df.select(F.struct(F.col("doc_id").alias("i")).alias("key"), "text", "lang"), doc_id="key", max_grams=most).collect()}
+    whole = {x.doc_id: x for x in quality_rules(df).collect()}
+    assert len(got) == len(rows)
+    p = direct([t for _, t, _ in rows if t is not None])
+    for i, t, _ in rows:
+        s = "\n\n\n" + (t or "") + "\n"
+        want = -sum(np.log(p(s[k : k + 3], s[k + 3])) for k in range(len(s) - 3)) / (len(s) - 3)
+        assert abs(got[i].log_ppl - want) < 1e-9 and abs(whole[i].log_ppl - want) < 1e-9
+        assert got[i][1:7] == whole[i][1:7] and got[i].kept == whole[i].kept and got[i].lower == whole[i].lower
+    assert quality_rules(df.limit(0), max_grams=most).count() == 0
+    some = df.where("text IS NULL OR length(text) > 300")  # without an empty text no count has a null one's line feeds
+    few, all_ = ({x.doc_id: x.log_ppl for x in quality_rules(some, max_grams=k).collect()} for k in (most, 1 << 20))
+    assert None in few and 60 in few and all(abs(few[i] - all_[i]) < 1e-9 for i in all_)
