@@ -10,11 +10,14 @@ is set anew where lines go). An empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._sieve import anti_join
-from millrace.llm._store import table
+from millrace.llm._store import settle, table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.near_dedup import near_dedup
@@ -54,7 +57,18 @@ def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_bpe(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True)
 
 
-STAGES = [("quality rules", _quality), ("line dedup", _lines), ("near-duplicates", _near), ("decontamination", _benchmark), ("encoding", _encode)]
+def _settled(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Begins with the memory that the stage before has left: else heaps stay as large as the largest stage made them, beside the Python of all others."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _settled(f)) for name, f in (("quality rules", _quality), ("line dedup", _lines), ("near-duplicates", _near), ("decontamination", _benchmark), ("encoding", _encode))]
 
 #: Perplexity, likelihoods and alignments have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -7,6 +7,7 @@ import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
@@ -25,6 +26,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Let executors give back the heap that finished work has grown, which no collection would shrink while they run Python.
+
+    A collection at every core: some executors do it more than once, as tasks can't be sent to each of them.
+    """
+    release(spark)
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def _cleanup() -> None:
     for spark, path in _OURS:
         try:

@@ -7,6 +7,7 @@ characters or words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ U64 = np.uint64
 #: Text in a block; with its separators it just fits tables of 2 ** 21 entries.
 BLOCK_BYTES = (1 << 21) - 16
 _MASK = (1 << 64) - 1
+#: glibc's; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -23,6 +26,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit values (splitmix64)."""
     x = x.astype(U64, copy=True)
@@ -117,7 +127,7 @@ def blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = BLOCK_B
     if len(texts) > a:
         yield batch.slice(a), Block(texts[a:], lower)
     del texts
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def doc_of(first: np.ndarray) -> np.ndarray:

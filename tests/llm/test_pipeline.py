@@ -154,3 +154,13 @@ def test_winnowing_selects_few_lines():
     a, z, least = winnow(h, words, doc, 25)
     assert len(np.unique(least)) < 0.5 * len(h)
     assert (doc[a] == doc[z]).all() and all(words[p : q + 1].sum() >= 25 and h[k] == h[p : q + 1].min() for p, q, k in zip(a, z, least))
+
+
+def test_stages_begin_with_a_small_heap(spark):
+    """What a stage has grown isn't kept beside the next one's Python: driver and executors (here one JVM) collect first."""
+    folder, jvm = "/root/testdata/sf0.001", spark.sparkContext._jvm
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    full = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    corpus_pipeline.STAGES[3][1](spark, docs, folder)
+    assert full() >= before + 2
