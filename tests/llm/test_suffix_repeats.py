@@ -101,3 +101,25 @@ def test_groups_cover_what_is_removed(spark, hot):
 def test_bounds_of_length(spark):
     with pytest.raises(ValueError):
         suffix_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=300)
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """Before the texts are cut only the last step's shuffle files may be left on disk: those of its three exchanges."""
+    import time
+
+    from millrace.llm._store import release
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {x for x in (files.apply(i).getName() for i in range(files.size())) if x.startswith("shuffle")}
+
+    release(spark)
+    time.sleep(2)
+    before = shuffled()
+    out = suffix_repeats(spark.createDataFrame([(i, f"{i} " * 20 + "ab " * 100) for i in range(20)], "doc_id long, text string"))
+    time.sleep(2)
+    left = {x.split("_")[1] for x in shuffled() - before}
+    assert len(left) <= 3, left
+    assert out.count() == 20
