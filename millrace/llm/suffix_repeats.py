@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._blobs import chunked, columns, pack, split, unpack
-from ._store import drop_table, release, table
+from ._store import drop_table, release, settle, table
 from ._text import Block, U64, mix, prefix_hash, span_hash
 
 CHUNK_BYTES = 4 << 20
@@ -267,6 +267,7 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
 
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts, _ = table(src.mapInArrow(chunks, f"chunk long, ids array<{kind}>, sizes binary, body binary, place binary, hashes binary"), "chunks", codec="uncompressed")
+    settle(spark)
     nb = buckets or max(32, parts.count())
     # tasks' shares stay as they are, however many there are
     spread = lambda d, key: d.repartition(nb // 4, key) if nb // 4 > usual else d
@@ -288,11 +289,12 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
         rows = [(c, h[a:z][total[a:z] > 1].tobytes(), np.minimum(crowd[a:z][total[a:z] > 1], 1 << 30).astype(np.int32).tobytes()) for c, a, z in zip(t["chunk"].to_pylist(), cut, cut[1:]) if (total[a:z] > 1).any()]
         return columns(chunk=([r[0] for r in rows], i64), hashes=([r[1] for r in rows], binary), crowd=([r[2] for r in rows], binary))
 
-    # shuffle files of a step that is done go before the next one writes its own: disk has one step's at a time
+    # shuffle files of a step that is done go before the next one writes its own: disk has one step's at a time;
+    # so does the heap that it has grown
     asked = spread(parts.select("chunk", "hashes").mapInArrow(ask, "bucket int, chunk long, hashes binary, n binary"), "bucket")
     told, p2 = table(asked.groupBy("bucket").applyInArrow(answer, "chunk long, hashes binary, crowd binary"), "anchors")
     del asked
-    release(spark)
+    settle(spark)
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         none = dict(bucket=([], pa.int32()), chunk=([], i64), place=([], binary), context=([], binary), rows=([], binary), sizes=([], binary))
@@ -361,10 +363,12 @@ def suffix_repeats(df: DataFrame, length: int = 200, seed: int = 100, doc_id: st
         return _spans(out)
 
     near = spread(parts.drop("ids"), "chunk").groupBy("chunk").cogroup(spread(told, "chunk").groupBy("chunk")).applyInArrow(contexts, "bucket int, chunk long, place binary, context binary, rows binary, sizes binary")
-    found, _ = table(spread(near, "bucket").groupBy("bucket").applyInArrow(match, "chunk long, a binary, z binary, g binary"), "repeats")
+    near = spread(near, "bucket").groupBy("bucket").applyInArrow(match, "chunk long, a binary, z binary, g binary")
+    found, _ = table(near.repartition("chunk"), "repeats")  # in few files: to make one, an executor starts processes, when its heap is largest
     del near
     drop_table(spark, p2)
-    release(spark)
+    settle(spark)
+    release(spark)  # the last step's files, which go when another job, here settle's, has run
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]

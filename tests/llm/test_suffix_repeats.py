@@ -123,3 +123,40 @@ def test_shuffle_files_go_with_their_step(spark):
     left = {x.split("_")[1] for x in shuffled() - before}
     assert len(left) <= 3, left
     assert out.count() == 20
+
+
+def test_steps_leave_little_memory_and_disk(spark, monkeypatch):
+    """After each step's table the heap is given back, the matches are a few files, and in the end not all files of the last three shuffles are left."""
+    import time
+    from pathlib import Path
+
+    from millrace.llm import suffix_repeats as module
+    from millrace.llm._store import release, settle, table
+
+    did, files = [], {}
+
+    def noted_table(df, name, *rest, **more):
+        made, path = table(df, name, *rest, **more)
+        did.append(name)
+        files[name] = len(list(Path(path.removeprefix("file:")).glob("*.parquet")))
+        return made, path
+
+    monkeypatch.setattr(module, "table", noted_table)
+    monkeypatch.setattr(module, "settle", lambda s: (did.append("settle"), settle(s)), raising=False)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = disk.getAllFiles()
+        return {x for x in (found.apply(i).getName() for i in range(found.size())) if x.startswith("shuffle")}
+
+    release(spark)
+    time.sleep(2)
+    before = shuffled()
+    out = suffix_repeats(spark.createDataFrame([(i, f"{i} " * 20 + " ".join(str(j * j) for j in range(i, i + 400))) for i in range(40)], "doc_id long, text string"), length=40, seed=20, buckets=64)
+    for _ in range(20):
+        if left := {x.split("_")[1] for x in shuffled() - before}:
+            time.sleep(0.5)
+    assert did == ["chunks", "settle", "anchors", "settle", "repeats", "settle"]
+    assert files["repeats"] <= 2, files  # of 16 tasks
+    assert len(left) < 3, left
+    assert out.count() == 40
