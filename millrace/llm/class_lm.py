@@ -26,6 +26,9 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from inspect import getfullargspec
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ._blobs import chunked, columns, pack, split, unpack
-from ._store import drop_table, release, table
-from ._text import U64, doc_of, prefix_hash, span_hash
+from ._store import drop_table, release, settle, table
+from ._text import U64, doc_of, prefix_hash, span_hash, trim
 
 TOP, CLASSES = 1024, 64  # classes of the most frequent words at first, and as many of others; then all are open to all
 STILL = 0.01
@@ -122,6 +125,22 @@ def _mutual(c: np.ndarray, classes: int) -> np.ndarray:
     return table.astype(np.float32)
 
 
+def _trimmed(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``f`` (of one table or two), whose worker then gives its freed memory back."""
+
+    def one(t: pa.Table) -> pa.Table:
+        out = f(t)
+        trim()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        trim()
+        return out
+
+    return one if len(getfullargspec(f).args) == 1 else two
+
+
 def _class_bigrams(n: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Bigrams of states from those of words; states: classes, other words, end."""
     one = np.zeros((len(n), CLASSES + 2))
@@ -144,6 +163,15 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
         held_out = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 7 == 2
     i32, i64, binary = pa.int32(), pa.int64(), pa.binary()
 
+    def rest() -> None:
+        """After a step: executors give back the heap that it has grown, and its shuffle files go, the last ones when another job, here settle's, has run."""
+        settle(spark)
+        release(spark)
+
+    def few(d: DataFrame) -> DataFrame:
+        """The same rows for few files: to make one, an executor starts processes, when its heap is largest."""
+        return d.hint("rebalance", "chunk")
+
     # 1: chunks of texts as token numbers, with their distinct words
     def tokens(batches):
         for number, b, (ids, held) in chunked(batches, CHUNK_BYTES, lower=True):
@@ -153,10 +181,13 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
             n = np.bincount(inv[~held[doc_of(first)]], minlength=len(h))
             flat = np.insert(inv.ravel(), first[1:], len(h)).astype(np.int32)  # an end after each text
             out = columns(True, chunk=([number], i64), held=([held.tobytes()], binary), first=([pack((first + np.arange(b.n + 1)).astype(np.int32))], binary), flat=([pack(flat)], binary), hashes=([h.tobytes()], binary), n=([pack(n.astype(np.int32))], binary))
+            del b, s, e, h, inv, n, flat
+            trim()
             yield out.append_column("ids", pa.array([ids.to_pylist()], pa.list_(ids.type)))
 
     src = df.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     parts, p_parts = table(src.mapInArrow(tokens, f"chunk long, held binary, first binary, flat binary, hashes binary, n binary, ids array<{kind}>"), "tokens", codec="uncompressed")
+    rest()
 
     nb = buckets or max(32, parts.count())
     # tasks' shares stay as they are, however many there are
@@ -179,7 +210,7 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
         sums = [len(u), int(n.sum()), int((n == 1).sum()), int((n == 2).sum())]
         return columns(hash=([0] * 4 + u[top].view(np.int64).tolist(), i64), n=(sums + n[top].tolist(), i64), what=([0, 1, 2, 3] + [4] * len(top), i32))
 
-    counted, p_counted = table(spread(parts.select("hashes", "n").mapInArrow(ask_counts, "bucket int, hashes binary, n binary"), "bucket").groupBy("bucket").applyInArrow(count, "hash long, n long, what int"), "counts")
+    counted, p_counted = table(spread(parts.select("hashes", "n").mapInArrow(ask_counts, "bucket int, hashes binary, n binary"), "bucket").groupBy("bucket").applyInArrow(_trimmed(count), "hash long, n long, what int"), "counts")
     sums = {r.what: int(r.n) for r in counted.where("what < 4").groupBy("what").agg(F.sum("n").alias("n")).collect()}
     ends = int(src.where(~F.col("held_out")).count())
     types, total = sums.get(0, 0) + (ends > 0), sums.get(1, 0) + ends
@@ -187,6 +218,7 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
     d = min(max(d, 0.05), 0.95)
     top = counted.where("what = 4").orderBy(F.desc("n"), "hash").limit(TOP).toArrow()
     drop_table(spark, p_counted)
+    rest()
     top_hash, top_n = top["hash"].to_numpy().view(U64), top["n"].to_numpy()
     by = np.argsort(top_hash)
     top_hash, top_n = top_hash[by], top_n[by]
@@ -223,6 +255,7 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
     bigrams = np.zeros((m + 2) ** 2)
     bigrams[got["pair"].to_numpy()] = got["n"].to_numpy()
     bigrams = bigrams.reshape(m + 2, m + 2)
+    rest()
     cls_top = exchange(bigrams[np.ix_(*[np.concatenate([np.argsort(-top_n, kind="stable"), [m, m + 1]])] * 2)], CLASSES) if m else np.empty(0, np.int64)
     back = np.empty(m, np.int64)
     back[np.argsort(-top_n, kind="stable")] = cls_top
@@ -278,7 +311,9 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
 
     asked = parts.select("chunk", "flat", "first", "held", "hashes", "n").mapInArrow(ask, "bucket int, chunk long, k binary, code binary, times binary, hashes binary, n binary")
     kinds = "chunk long, bucket int, n binary, cls binary, inv binary"
-    told, p_told = table(spread(asked, "bucket").groupBy("bucket").applyInArrow(answer, kinds), "classes", codec="uncompressed")
+    told, p_told = table(few(spread(asked, "bucket").groupBy("bucket").applyInArrow(_trimmed(answer), kinds)), "classes", codec="uncompressed")
+    del asked
+    rest()
 
     def classes_of(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Counts and classes of a chunk's words, in order."""
@@ -348,15 +383,16 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
 
     for turn in range(rounds):
         near = spread(parts.select("chunk", "flat", "first", "held"), "chunk").groupBy("chunk").cogroup(spread(told.where("chunk >= 0"), "chunk").groupBy("chunk"))
-        near, p_near = table(near.applyInArrow(contexts_again, "bucket int, chunk long, k binary, code binary, times binary"), "contexts", codec="uncompressed")
+        near, p_near = table(few(near.applyInArrow(_trimmed(contexts_again), "bucket int, chunk long, k binary, code binary, times binary")), "contexts", codec="uncompressed")
         c = transitions(near.where("bucket = -1").select(F.col("code").alias("moves"), "times"))
+        rest()
         shared = sc.broadcast(_mutual(c, END))  # 2 * STATES rows of END numbers
         both = spread(told.where("chunk >= 0"), "bucket").groupBy("bucket").cogroup(spread(near.where("bucket >= 0"), "bucket").groupBy("bucket"))
-        told, p_next = table(both.applyInArrow(exchange_round(turn, shared), kinds), "classes", codec="uncompressed")
+        told, p_next = table(few(both.applyInArrow(_trimmed(exchange_round(turn, shared)), kinds)), "classes", codec="uncompressed")
         drop_table(spark, p_near)
         drop_table(spark, p_told)
         p_told = p_next
-        release(spark)
+        rest()
         if statistics(told)[-1] < STILL * total:
             break
 
@@ -388,12 +424,13 @@ def class_lm(df: DataFrame, held_out: F.Column | None = None, doc_id: str = "doc
             known=([docs((n > 0).astype(np.int64))], binary), base=([docs(base)], binary), emit=([docs(emit)], binary), moves=([moves], binary), times=([times], binary),
         )
 
-    final, p_final = table(spread(parts.select("chunk", "ids", "flat", "first", "held"), "chunk").groupBy("chunk").cogroup(spread(told.where("chunk >= 0"), "chunk").groupBy("chunk")).applyInArrow(apply, f"ids array<{kind}>, held binary, first binary, seq binary, known binary, base binary, emit binary, moves binary, times binary"), "scored", codec="uncompressed")
+    final, p_final = table(spread(parts.select("chunk", "ids", "flat", "first", "held"), "chunk").groupBy("chunk").cogroup(spread(told.where("chunk >= 0"), "chunk").groupBy("chunk")).applyInArrow(_trimmed(apply), f"ids array<{kind}>, held binary, first binary, seq binary, known binary, base binary, emit binary, moves binary, times binary"), "scored", codec="uncompressed")
     drop_table(spark, p_told)
     drop_table(spark, p_parts)
 
     # 7: transitions between classes
     c = transitions(final.select("moves", "times"))
+    rest()
     prior = (c.sum(0) + 1e-3) / (c.sum() + 1e-3 * STATES)
     p = (c + 20 * prior) / (c.sum(1, keepdims=True) + 20)
     new = unseen * class_tokens

@@ -158,3 +158,29 @@ def test_contexts_and_gains_by_brute_force():
     h = np.sort(r.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
     b = bucket_of(h, 7)
     assert (np.diff(b) >= 0).all() and b.min() == 0 and b.max() == 6
+
+
+def test_class_lm_steps_leave_little_memory(spark, monkeypatch):
+    """After each step's table the heap is given back, and classes and contexts are a few files."""
+    from pathlib import Path
+
+    from millrace.llm import class_lm as module
+    from millrace.llm._store import settle, table
+
+    did, files = [], {}
+
+    def noted_table(df, name, *rest, **more):
+        made, path = table(df, name, *rest, **more)
+        did.append(name)
+        files[name] = max(files.get(name, 0), len(list(Path(path.removeprefix("file:")).glob("*.parquet"))))
+        return made, path
+
+    monkeypatch.setattr(module, "table", noted_table)
+    monkeypatch.setattr(module, "settle", lambda s: (did.append("settle"), settle(s)), raising=False)
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 300)}" for _ in range(60))) for i in range(80)], "doc_id long, text string").repartition(3)
+    out = class_lm(df, buckets=64)
+    assert files["classes"] <= 2 and files["contexts"] <= 2, files  # of 16 tasks
+    steps = [k for k in did if k != "settle"]
+    assert all(did[i + 1] == "settle" for i, k in enumerate(did) if k != "settle") and steps[:3] == ["tokens", "counts", "classes"], did
+    assert out.count() == 80
