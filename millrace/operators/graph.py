@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .cooccur import co_counts
 
 TOLERANCE = 1e-7
 
@@ -19,8 +20,12 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def copairs(df: DataFrame, node: str, item: str) -> DataFrame:
     """(u, v, n): how many items two nodes share."""
-    d = df.select(F.col(node).alias("u"), F.col(item).alias("_i")).where("u is not null and _i is not null").distinct()
-    return d.join(d.withColumnRenamed("u", "v"), "_i").where("u < v").groupBy("u", "v").agg(F.count("*").alias("n"))
+    return co_counts(df, item, node).toDF("u", "v", "n")
+
+
+def top_edges(df: DataFrame, node: str, item: str, least: int) -> DataFrame:
+    """:func:`edges_with` over :func:`copairs`. All pairs are counted, those that can't reach the threshold aren't kept."""
+    return edges_with(_cut(co_counts(df, item, node, top=least).toDF("u", "v", "n")), least)
 
 
 def threshold_with(pairs: DataFrame, least: int) -> DataFrame:

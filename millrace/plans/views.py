@@ -65,7 +65,7 @@ def pairs(spark, d) -> DataFrame:
 
 def edges(spark, d) -> DataFrame:
     """Co-purchase graph; materialised, as its queries are iterative."""
-    return G._cut(G.edges_with(G._cut(pairs(spark, d)), LEAST_EDGES))
+    return G._cut(G.top_edges(ratings(spark, d), "u", "i", LEAST_EDGES))
 
 
 def stream(spark, d) -> DataFrame:
