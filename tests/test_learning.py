@@ -90,3 +90,29 @@ def test_trees_pca_kmeans_and_accuracy(spark):
     a, b = split_train_test(df, F.col("a") % 4 == 0)
     assert (a.count(), b.count()) == (30, 10)
     assert spark.range(1).select(R.weighted_hybrid(F.lit(2.0), F.lit(4.0), 0.25)).first()[0] == 3.5
+
+
+def test_trees_on_cells_are_those_on_rows(spark):
+    r = random.Random(7)
+    rows = [(float(a), float(b), a * (b > 3) + r.random()) for a, b in ((r.randint(0, 5), r.randint(0, 6)) for _ in range(3000))]
+    df = spark.createDataFrame(rows, "a double, b double, s double")
+    x = R.fit_gbt(df, ["a", "b"], "s", 5, 4, 0.3).transform(df).select("a", "b", F.col("prediction").alias("x")).distinct()
+    y = R.fit_cells(df, ["a", "b"], "s", 5, 4, 0.3).transform(df).select("a", "b", F.col("prediction").alias("y")).distinct()
+    assert x.join(y, ["a", "b"]).agg(F.count("*"), F.max(F.abs(F.col("x") - F.col("y")))).first()[1] < 1e-6
+    assert R.fit_cells(df, ["a", "b"], "s", 5, 4).stages[-1].stages[-1].trees[0].depth == 4
+    sizes = []
+    R.stored, kept = (lambda t, name: sizes.append(t.count()) or kept(t, name)), R.stored
+    try:
+        R.fit_cells(df, ["a", "b"], "s", 2, 2)
+    finally:
+        R.stored = kept
+    assert sizes == [42]
+
+
+def test_full_model_has_the_reference_size(spark, monkeypatch):
+    from millrace.plans import learning as Q
+
+    asked = []
+    monkeypatch.setattr(Q, "_model", lambda spark, d, trees, depth, rate, columns: asked.append((trees, depth, rate, len(columns))))
+    Q.model_cf_full(spark, "")
+    assert asked == [(220, 7, 0.05, 9)]
