@@ -26,3 +26,19 @@ def test_join_shuffles_no_row_for_each_shared_element(spark):
     r = random.Random(12)
     sets = spark.createDataFrame([(k, x) for k in range(1500) for x in r.sample(range(300), 40)], "set_id long, element long").repartition(4)
     assert shuffled(spark, lambda: L.jaccard_pairs(sets, 0.5).count()) < 2_000_000  # the heads share an element 2.5 million times
+
+
+def test_candidates_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(L, "SPLIT", 16)
+    r = random.Random(13)
+    of = {k: [r.choice("xyz" if b < 2 else "abcdefghijklmnop") + str(b) for b in range(6)] for k in range(400)}
+    banded = spark.createDataFrame([(f"d{k}", b, v) for k, vs in of.items() for b, v in enumerate(vs)], "set_id string, band int, bucket string")
+    want = sorted(tuple(sorted((f"d{a}", f"d{b}"))) for a in of for b in of if a < b and any(x == y for x, y in zip(of[a], of[b])))
+    assert sorted(map(tuple, L.candidates(banded).collect())) == want
+    one = spark.createDataFrame([(k, 0, "x") for k in range(2000)], "set_id long, band int, bucket string")
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        assert shuffled(spark, lambda: L.candidates(one).write.format("noop").mode("overwrite").save()) < 2_000_000  # 2 million pairs
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
